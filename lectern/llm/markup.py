@@ -18,7 +18,7 @@ _BLOCKS = re.compile(r"<(pre|syntaxhighlight|source|script|style)\b(?![^<>]*/>)[
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 TAGS = re.compile(r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[^<>]*|\s*/)?>")
 _TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
-_FORMULA = re.compile(r"\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|<math\b[^<>]*>.*?</math>|(?<![\\$\w])\$(?=[^\s$])[^$\n]*[\\^_={}+][^$\n]*(?<=[^\s$])\$(?![\d$])", re.S)
+_FORMULA = re.compile(r"\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|<math\b[^<>]*>.*?</math>|(?<![\\$A-Za-z0-9])\$(?=[^\s$])[^$\n]*[\\^_={}+][^$\n]*(?<=[^\s$])\$(?![\d$])", re.S)
 _MATH_ENV = re.compile(r"\\(begin|end)\{(equation|align|gather|displaymath|math|eqnarray|multline)\*?\}")
 _COMMAND = re.compile(r"\\(?:cite|ref|label|eqref|begin|end|url|includegraphics|usepackage|documentclass)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}(?:\[[^\]\n]*\])?|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?=[{\s\\]|$)")
 _URL = re.compile(r"\b(?:https?|ftp)://[^\s<>()\[\]\"']+|\b[\w.+-]+@[\w-]+\.[\w.]+", re.A)
