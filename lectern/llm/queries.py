@@ -27,7 +27,7 @@ SQL: dict[str, str] = {
         long AS (SELECT DISTINCT file_id, t, capacity FROM normal, size WHERE length(t) > capacity)
         SELECT DISTINCT file_id,
                CASE WHEN list_max(list_transform(
-                        string_split_regex(t, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}.!?…。！？]+'), x -> length(x))) > capacity
+                        string_split_regex(t, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}.!?…。！？]+'), lambda x: length(x))) > capacity
                     THEN 'hard_cut' ELSE 'cut' END AS need
         FROM long
     """,
