@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +115,41 @@ def ocr_kept(text: Column, score: Column, left: Column, top: Column, right: Colu
     lone = (F.length(compact) == 1) & compact.rlike(r"\p{L}")
     shape = (right - left >= 2) & (bottom - top >= 2) & (bottom - top <= (right - left) * 1.8)
     return (score >= 0.45) & (compact != "") & ~lone & compact.rlike(r"[A-Za-z\x{3400}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]") & shape
+
+
+_STOP = re.compile(r"[。！？.!?；;：:]\s*[\"'”’」』）)\]]*$")
+_BULLET = re.compile(r"[-*•▪◦]\s|\(?\d{1,4}[.)、]|[A-Za-z][.)]\s")
+_BLOCK = pa.schema([("page", pa.int64()), ("block", pa.int32()), ("text", pa.string()), ("x0", pa.float64()), ("x1", pa.float64()), ("top", pa.float64()), ("bottom", pa.float64()), ("n", pa.int32())])
+
+
+def ocr_blocks(lines: DataFrame, width: float, height: float) -> DataFrame:
+    """Recognised lines in reading order, joined into blocks of one flow.
+
+    A line is held against the block that it would join, so this is a loop; it runs over sorted partitions in one pass,
+    with one open block, instead of one call per page.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place, number = None, None, 0
+        for batch in batches:
+            out = []
+            for page, region, column, text, x0, x1, top, bottom in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                tall = max(1.0, bottom - top)
+                joins = (
+                    held is not None and place == (page, region, column) and top - held[6] <= max(tall * 1.35, height * 0.012) and abs(x0 - held[3]) <= width * 0.06
+                    and not _STOP.search(held[2]) and not _BULLET.match(text)
+                )
+                if joins:
+                    glue = held[2][:-1] + text if held[2].endswith("-") and text[:1].isalnum() else held[2] + " " + text
+                    held = [page, held[1], glue, min(held[3], x0), max(held[4], x1), min(held[5], top), max(held[6], bottom), held[7] + 1]
+                    continue
+                if held is not None:
+                    out.append(held)
+                number = number + 1 if held is not None and held[0] == page else 0
+                held, place = [page, number, text, x0, x1, top, bottom, 1], (page, region, column)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_BLOCK)], schema=_BLOCK)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[i]], f.type) for i, f in enumerate(_BLOCK)], schema=_BLOCK)
+
+    ordered = lines.repartition("page").sortWithinPartitions("page", "region", "column", "position")
+    return ordered.select("page", "region", "column", "text", "x0", "x1", "top", "bottom").mapInArrow(run, "page long, block int, text string, x0 double, x1 double, top double, bottom double, n int")

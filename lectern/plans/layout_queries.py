@@ -307,32 +307,11 @@ def q_pdf_page_units(spark: SparkSession, d: str) -> DataFrame:
     return df.select("doc_id", F.sha2(F.array_join("u", "\n"), 256).alias("digest"), F.size("u").cast("long").alias("n"))
 
 
-def _grouped(pdf):
-    """Recognised lines of one page in reading order, joined into blocks."""
-    import re
-
-    out, held = [], None
-    for r in pdf.sort_values(["region", "column", "position"]).itertuples():
-        height = max(1.0, r.bottom - r.top)
-        joins = (
-            held is not None and r.region == held["region"] and r.column == held["column"] and r.top - held["bottom"] <= max(height * 1.35, H * 0.012)
-            and abs(r.x0 - held["x0"]) <= W * 0.06 and not re.search(r"[。！？.!?；;：:]\s*[\"'”’」』）)\]]*$", held["text"]) and not re.match(r"[-*•▪◦]\s|\(?\d{1,4}[.)、]", r.text)
-        )
-        if joins:
-            held |= {"text": held["text"] + " " + r.text, "x0": min(held["x0"], r.x0), "x1": max(held["x1"], r.x1), "top": min(held["top"], r.top), "bottom": max(held["bottom"], r.bottom), "n": held["n"] + 1}
-        else:
-            held = {"page": r.page, "block": len(out), "region": r.region, "column": r.column, "text": r.text, "x0": r.x0, "x1": r.x1, "top": r.top, "bottom": r.bottom, "n": 1}
-            out.append(held)
-    import pandas as pd
-
-    return pd.DataFrame([{k: x[k] for k in ("page", "block", "text", "x0", "x1", "top", "bottom", "n")} for x in out], columns=["page", "block", "text", "x0", "x1", "top", "bottom", "n"])
-
-
 @query()
 def q_ocr_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of a page as blocks: each line is held against the block that it would join, so a page is one loop."""
-    lines = L.reading_order(_boxes(spark, d), W, H).select("page", "region", "column", "position", "text", "x0", "x1", "top", "bottom")
-    return lines.groupBy("page").applyInPandas(_grouped, "page long, block int, text string, x0 double, x1 double, top double, bottom double, n int")
+    """Lines of a page as blocks."""
+    lines = L.reading_order(_boxes(spark, d), W, H)
+    return L.ocr_blocks(lines, W, H)
 
 
 @query()
