@@ -40,15 +40,15 @@ def runs(text: Column, capacity: int, overlap: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern(capacity - overlap)), F.lit(0))
 
 
-def pieces(df: DataFrame, text: str, capacity: int, overlap: int) -> DataFrame:
-    """Adds piece, start_char, end_char, cut (how the piece ends) and content to the rows of df, one row per piece."""
+def pieces(df: DataFrame, key: str, text: str, capacity: int, overlap: int) -> DataFrame:
+    """(key, piece, start_char, end_char, cut, piece_text), one row per piece; cut tells how the piece ends."""
     if not 0 <= overlap < capacity:
         raise ValueError("the overlap must be smaller than the capacity")
     whole = F.when(F.length("_text") <= capacity, F.array("_text")).otherwise(runs(F.col("_text"), capacity, overlap))
-    out = df.withColumn("_text", normal_column(F.col(text))).where("length(_text) > 0").withColumn("_runs", whole)
+    out = df.select(F.col(key).alias("_key"), normal_column(F.col(text)).alias("_text")).where("length(_text) > 0").withColumn("_runs", whole)
     # Running ends in one pass: an array of lengths folded into an array of sums.
     ends = F.expr("aggregate(_runs, cast(array(0) as array<int>), (a, r) -> concat(a, array(element_at(a, -1) + length(r))))")
-    out = out.withColumn("_ends", ends).select(*df.columns, "_text", "_ends", F.posexplode("_runs").alias("piece", "_run"))
+    out = out.withColumn("_ends", ends).select("_key", "_text", "_ends", F.posexplode("_runs").alias("piece", "_run"))
     end = F.element_at("_ends", F.col("piece") + 2)
     start = F.greatest(F.element_at("_ends", F.col("piece") + 1) - F.when(F.col("piece") > 0, overlap).otherwise(0), F.lit(0))
     cut = (
@@ -59,7 +59,7 @@ def pieces(df: DataFrame, text: str, capacity: int, overlap: int) -> DataFrame:
         .when(F.col("_run").rlike(rf"(?U)[{SPACE}]\z"), "word")
         .otherwise("hard")
     )
-    return out.select(*df.columns, "piece", start.alias("start_char"), end.alias("end_char"), cut.alias("cut"), F.expr("substring(_text, start_char + 1, end_char - start_char)").alias("piece_text"))
+    return out.select(F.col("_key").alias(key), "piece", start.alias("start_char"), end.alias("end_char"), cut.alias("cut"), F.expr("substring(_text, start_char + 1, end_char - start_char)").alias("piece_text"))
 
 
 def limits(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
@@ -70,7 +70,7 @@ def limits(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all files; files delivered again give equal rows and count once."""
     capacity, overlap = limits(spark, sf_dir)
-    return pieces(table(spark, sf_dir, "files").select("file_id", "content"), "content", capacity, overlap).drop("content").distinct()
+    return pieces(table(spark, sf_dir, "files").select("file_id", "content"), "file_id", "content", capacity, overlap).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,8 @@ def entry(line: str) -> bool:
 def rows_of_fields(lines: list[str]) -> tuple[float, str]:
     """Share of lines that are rows of delimited or aligned fields, with the delimiter."""
     best, which = 0.0, ""
+    if len(lines) < 2:
+        return best, which  # one line alone makes no rows
     for d, p in _FIELDS.items():
         counts = Counter(len(p.findall(x)) for x in lines)
         counts.pop(0, None)
