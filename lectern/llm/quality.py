@@ -114,7 +114,8 @@ def statistics(text: str | None, common: dict[str, bool]) -> dict[str, float]:
     pairs = _HEX.findall(text) if re.search(r"[0-9a-f]{2}", text) else []
     hexed = sum(map(len, pairs)) if sum(any(c in "abcdef" for c in p) for p in pairs) > 0.4 * len(pairs) else 0
     soup = sum(map(len, _SOUP.findall(text)))
-    broken = 4 * len(_BROKEN.findall(text.replace(mark, " ") if fields > 0.5 and mark.strip() else text))
+    broken = len(_BROKEN.findall(text.replace(mark, " ") if fields > 0.5 and mark.strip() else text))
+    broken *= 4 if broken > 3 else 1
     signs = len(_SYMBOL.findall(text))
     noise = signs if signs > 0.6 * n and not any(_RULED.match(x) for x in lines) else 0
     damage = min(1.0, (max(encoded, hexed if hexed > 0.5 * n else 0) + soup + broken + noise) / n)
