@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 C = F.col
 DARK = (0.08, 0.08, 0.08)
 
@@ -91,6 +93,35 @@ def reading_order(boxes: DataFrame, width: float, height: float) -> DataFrame:
     return df.drop("_x", "_c", "_new", "band", "segment", "kind")
 
 
+def page_units(lines: Column) -> Column:
+    """Visual lines of a page as units. Blank lines, rows of cells, stops, headings and bullets part them.
+
+    What a line's own text says is computed before the fold; the fold looks at the unit collected so far only.
+    """
+
+    def seen(raw: Column) -> Column:
+        cells = F.filter(F.transform(F.split(T.strip(raw), r"[ \t]{4,}"), T.collapsed), lambda x: x != "")
+        return F.struct(cells.alias("cells"), F.size(cells).alias("n"), F.get(cells, F.lit(0)).alias("line"))
+
+    def judged(x: Column) -> Column:
+        starts = T.heading_like(x["line"]) | T.bullet_like(x["line"])
+        return F.struct(x["cells"].alias("cells"), x["n"].alias("n"), x["line"].alias("line"), starts.alias("starts"), x["line"].rlike(r"\A[\p{L}\p{N}]").alias("word"))
+
+    def flush(a: Column) -> Column:
+        return F.when(a["held"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["held"])))
+
+    def step(a: Column, x: Column) -> Column:
+        held = a["held"]
+        parts = (held == "") | (x["n"] != 1) | x["starts"] | T.terminal_line(held) | T.heading_like(held)
+        glued = F.when(held.endswith("-") & x["word"], F.concat(F.substr(held, F.lit(1), F.length(held) - 1), x["line"])).otherwise(F.concat(held, F.lit(" "), x["line"]))
+        kept = F.struct(glued.alias("held"), a["out"].alias("out"))
+        fresh = F.struct(F.when(x["n"] == 1, x["line"]).otherwise("").alias("held"), F.when(x["n"] > 1, F.concat(flush(a), x["cells"])).otherwise(flush(a)).alias("out"))
+        return F.when(parts, fresh).otherwise(kept)
+
+    start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.transform(F.transform(lines, seen), judged), start, step, flush)
+
+
 def merged_rows(tops: Column) -> Column:
     """Row numbers of line boxes sorted by top: a box within 2 of its row's first top joins the row."""
     start = F.struct(F.lit(-1).alias("no"), F.lit(0.0).alias("top"), F.array().cast("array<int>").alias("out"))

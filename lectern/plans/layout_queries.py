@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import layout as L
-from ..sources.tables import document_lines, table
+from ..sources.tables import balanced, document_lines, table
 from . import sql as S
 from .text_queries import _BULLET, _TERMINAL, _heading, _layout_go
 
@@ -271,26 +271,6 @@ def q_spacing_choice(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n", F.when(C("same") & (C("b") < C("a")), "plain").otherwise("layout").alias("choice"))
 
 
-def _units_fold(lines):
-    """Visual lines of a page as units: a fold, since a line joins what was collected so far."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit("").alias("held"), empty.alias("out"))
-
-    def flush(a):
-        return F.when(a["held"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(T.collapsed(a["held"]))))
-
-    def step(a, raw):
-        cells = F.filter(F.transform(F.split(T.strip(raw), r"[ \t]{4,}"), T.collapsed), lambda x: x != "")
-        line = F.get(cells, F.lit(0))
-        held = T.collapsed(a["held"])
-        new = (held != "") & (T.terminal_line(held) | T.heading_like(held) | T.heading_like(line) | T.bullet_like(line))
-        glued = F.when(a["held"].endswith("-") & line.rlike(r"\A[\p{L}\p{N}]"), F.concat(F.substr(a["held"], F.lit(1), F.length(a["held"]) - 1), line)).otherwise(F.concat(a["held"], F.lit(" "), line))
-        out = F.when(new, F.struct(line.alias("held"), flush(a).alias("out"))).when(a["held"] == "", F.struct(line.alias("held"), a["out"].alias("out"))).otherwise(F.struct(glued.alias("held"), a["out"].alias("out")))
-        return F.when(F.size(cells) == 0, F.struct(F.lit("").alias("held"), flush(a).alias("out"))).when(F.size(cells) > 1, F.struct(F.lit("").alias("held"), F.concat(flush(a), cells).alias("out"))).otherwise(out)
-
-    return F.aggregate(lines, start, step, flush)
-
-
 @query(rf"""WITH RECURSIVE {S.DOCS}, a AS (SELECT doc_id, list(line ORDER BY line_no) AS l FROM dl GROUP BY doc_id),
     r AS (SELECT doc_id, l, 0 AS i, '' AS held, []::VARCHAR[] AS out FROM a
           UNION ALL
@@ -303,7 +283,7 @@ def _units_fold(lines):
                       FROM (SELECT *, list_filter(list_transform(string_split_regex({S.strip("l[i + 1]")}, '[ \t]{{4,}}'), lambda x: {S.collapsed("x")}), lambda x: x <> '') AS c FROM r WHERE i < len(l)))))
     SELECT doc_id, sha256(array_to_string(CASE WHEN held = '' THEN out ELSE out || [{S.collapsed("held")}] END, chr(10))) AS digest, len(out) + (held <> '')::INT AS n FROM r WHERE i = len(l)""")
 def q_pdf_page_units(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").where("text is not null").select("doc_id", _units_fold(F.split(T.normalized(C("text")), "\n")).alias("u"))
+    df = balanced(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", L.page_units(F.split(T.normalized(C("text")), "\n")).alias("u"))
     return df.select("doc_id", F.sha2(F.array_join("u", "\n"), 256).alias("digest"), F.size("u").cast("long").alias("n"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import units as U
-from ..sources.tables import document_lines, file_lines, files, table, texts
+from ..sources.tables import balanced, document_lines, file_lines, files, table, texts
 from . import sql as S
 
 QUERIES: dict = {}
@@ -310,7 +310,7 @@ _MARKS = r"""' \t\r\n,.;:!?，。！？；：、)]}）】》」』”’'"""
           FROM (SELECT *, round_even(n * (s + greatest(1, w[i + 1]))::DOUBLE / total, 0)::INT AS g FROM c WHERE i < len(w) - 1))
     SELECT doc_id, i AS cut_no, last AS cut FROM c WHERE i > 0""")
 def q_partition_text(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").where("length(text) > 0").select("doc_id", T.collapsed(C("text")).alias("x"))
+    df = balanced(table(spark, d, "documents").where("length(text) > 0").select("doc_id", "text")).select("doc_id", T.collapsed(C("text")).alias("x"))
     weights = F.transform(F.slice(F.split("x", " "), 1, 4), F.length)
     cuts = df.select("doc_id", F.posexplode(T.partition_cuts(C("x"), weights)).alias("i", "cut"))
     return cuts.select("doc_id", (C("i") + 1).alias("cut_no"), "cut")

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than two a core is spread over the cores, round robin; a large one is left as it is."""
+    want = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
 def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Files, each once however often delivered: deliveries of one file differ in received_at only."""
     df = table(spark, sf_dir, "files")
@@ -34,5 +40,5 @@ def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, line) of all documents that have a text."""
-    df = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", normalized(F.col("text")).alias("t"))
-    return lines(df, "doc_id")
+    df = balanced(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
+    return lines(df.select("doc_id", normalized(F.col("text")).alias("t")), "doc_id")
