@@ -51,6 +51,8 @@ _SCRIPTED = {"Latn": "Latn", "Hani": "Hani", "Jpan": "Kana", "Kore": "Hang", "Cy
 _LOWER = re.compile(r"(?<![A-Za-z.])[a-zß-öø-ÿ][A-Za-zÀ-ɏ]*")
 _WORDS = re.compile(r"[^\W\d_]+")
 _BLANKS = re.compile(r"\s+")
+#: One or two capitalised words: a name, as far as anybody can tell.
+_NAMES = re.compile(r"\W*[A-ZÀ-ÖØ-Þ]\w+\W+(?:[A-ZÀ-ÖØ-Þ]\w+\W*)?|\W*[A-ZÀ-ÖØ-Þ]\w+")
 
 
 def weights(text: str) -> dict[str, int]:
@@ -114,6 +116,7 @@ class Languages:
         at: list[int] = []
         cost: list[dict[str, float]] = []
         size: list[int] = []
+        loose: list[bool] = []
         for i, (line, kind) in enumerate(zip(lines, scan(lines))):
             if kind != TEXT:
                 continue
@@ -123,43 +126,44 @@ class Languages:
                 at.append(i)
                 cost.append(costs)
                 size.append(len(text))
+                loose.append(bool(_NAMES.fullmatch(text)) and len(costs) > 1 and max(costs.values()) - min(costs.values()) <= 2)
         if not at:
             return []
-        names = self._cheapest(cost)
+        names = self._cheapest(cost, loose)
         out: list[tuple[int, int, str, float, int]] = []
         i = 0
         while i < len(at):
             j = i
             while j + 1 < len(at) and names[j + 1] == names[i]:
                 j += 1
-            out.append((at[i], at[j], names[i], self._confidence(names[i], cost[i : j + 1]), sum(size[i : j + 1])))
+            out.append((at[i], at[j], names[i], self._confidence(names[i], cost[i : j + 1], size[i : j + 1]), sum(size[i : j + 1])))
             i = j + 1
         return out
 
     @staticmethod
-    def _confidence(name: str, costs: list[dict[str, float]]) -> float:
-        """How much smaller the chosen output is than the next, over the whole segment; 1 where no other could be."""
-        rest: dict[str, float] = defaultdict(float)
-        own = 0.0
-        for c in costs:
-            worst = max(c.values())
-            own += c.get(name, worst)
-            for k in c:
-                if k != name:
-                    rest[k] += c[k]
-        second = min(rest.values(), default=0.0)
-        return round(min(1.0, max(0.0, 1 - own / second)), 4) if second else 1.0
+    def _confidence(name: str, costs: list[dict[str, float]], sizes: list[int]) -> float:
+        """How much smaller the chosen output is than the next best, averaged over the lines by their letters.
+
+        A line whose script leaves no other language counts 1, a line of another language 0.
+        """
+        sure = 0.0
+        for c, n in zip(costs, sizes):
+            second = min((v for k, v in c.items() if k != name), default=0.0)
+            if name in c:
+                sure += n * (min(1.0, max(0.0, 1 - c[name] / second)) if second else 1.0)
+        return round(sure / sum(sizes), 4)
 
     @staticmethod
-    def _cheapest(cost: list[dict[str, float]]) -> list[str]:
-        """The labelling of least bytes and switches. Lines of another script take part at the price of their script."""
+    def _cheapest(cost: list[dict[str, float]], loose: list[bool]) -> list[str]:
+        """The labelling of least bytes and switches. A loose line, a name alone, may stand in any language."""
         sure = [min(c, key=c.__getitem__) for c in cost]
-        if len(set(sure)) == 1:
-            return sure
+        firm = {k for k, free in zip(sure, loose) if not free}
+        if len(firm or set(sure)) == 1:
+            return [*(firm or set(sure))] * len(sure)
         names = sorted({k for c in cost for k in c})
         best: dict[str, float] = dict.fromkeys(names, 0.0)
         back: list[dict[str, str]] = []
-        for c, own in zip(cost, sure):
+        for c, own, free in zip(cost, sure, loose):
             low = c[own]
             pick = min(best, key=best.__getitem__)
             floor = best[pick] + SWITCH
@@ -170,7 +174,7 @@ class Languages:
                 step[k], base = (k, stay) if stay <= floor else (pick, floor)
                 # A line that this language cannot have written costs far more than a switch.
                 extra = c[k] - low if k in c else 10 * SWITCH
-                new[k] = base + (0.0 if k in c and extra < REJECT * low else extra)
+                new[k] = base + (0.0 if free or k in c and extra < REJECT * low else extra)
             back.append(step)
             best = new
         k = min(best, key=best.__getitem__)
