@@ -189,8 +189,9 @@ class Reader:
             return f"\ue000{len(formulas) - 1}\ue000"
 
         def tagged(m: re.Match) -> str:
-            self.traits |= {"wiki", "formula"}
-            return keep(m[2])
+            # Elements inside make it MathML, which is HTML; TeX inside is wiki text.
+            self.traits |= {"html" if re.search(r"<m[a-z]+\b", m[2]) else "wiki", "formula"}
+            return keep(re.sub(r"<[^<>]*>", " ", m[2]))
 
         def dollars(m: re.Match) -> str:
             body = m["a"] or m["b"] or m["c"] or m["d"]
@@ -249,7 +250,7 @@ class Reader:
                 continue
             close, name = bool(p[1]), p[2].lower()
             single = bool(p[4]) or name in ("br", "hr", "img", "input", "meta", "link", "wbr", "col")
-            if name in WIKI_TAGS and not (name == "section" and not p[3]):
+            if name in WIKI_TAGS and (name != "section" or re.match(r"\s+(?:begin|end)\s*=", p[3])):
                 t.add("wiki")
                 if name in ("ref", "gallery", "references"):
                     hidden = max(0, hidden + (-1 if close else 0 if single else 1))
