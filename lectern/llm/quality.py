@@ -54,11 +54,11 @@ _SYMBOL = re.compile(r"[^\w\s]")
 STATISTICS = ["words", "word_length", "symbols", "line_ends", "common", "entries", "fields", "damage", "repeated", "line_length"]
 
 
-def entry(line: str) -> bool:
-    """Whether a line is an entry of a list, glossary, index or contents page."""
+def entry(line: str, first: bool = False) -> bool:
+    """Whether a line is an entry of a list, glossary, index or contents page. A first line without a mark is a title."""
     if _MARKED.match(line) or _LEADER.search(line) or _INDEX.match(line):
         return True
-    if _LINE_END.search(line):
+    if first or _LINE_END.search(line):
         return False
     if _GLOSS.match(line):
         return True
@@ -131,7 +131,7 @@ def statistics(text: str | None, common: dict[str, bool]) -> dict[str, float]:
     repeated = 1.0 if not ratio else max(1 - distinct if len(lines) > 4 else 0.0, min(1.0, max(0.0, 0.12 - ratio) / 0.08) if len(raw) > 150 else 0.0)
     return {
         "words": float(np.log1p(count)), "word_length": min(size, 40.0), "symbols": signs / n, "line_ends": sum(bool(_LINE_END.search(x)) for x in lines) / len(lines), "common": near,
-        "entries": sum(map(entry, lines)) / len(lines), "fields": fields, "damage": damage, "repeated": repeated, "line_length": float(np.log1p(sum(lengths) / len(lengths))), "n_words": count, "n_lines": len(lines),
+        "entries": (entry(lines[0], len(lines) > 1) + sum(map(entry, lines[1:]))) / len(lines), "fields": fields, "damage": damage, "repeated": repeated, "line_length": float(np.log1p(sum(lengths) / len(lengths))), "n_words": count, "n_lines": len(lines),
     }
 
 
