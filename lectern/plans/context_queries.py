@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context as X
+from ..operators import pipeline as P
 from ..operators import units as U
 from ..sources.tables import document_lines, file_lines, files, lines, table, texts
 from . import sql as S
@@ -202,3 +203,16 @@ def q_translate_file(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.sort_array(F.collect_list(F.struct("line_no", "out")))
     out = units.groupBy("file_id").agg(F.count_if("unit.translate").alias("n_units"), F.array_join(F.transform(pairs, lambda p: p["out"]), "\n").alias("out"))
     return out.select("file_id", "n_units", F.sha2("out", 256).alias("out_digest"))
+
+
+@query(f"""WITH {S.UNITS} SELECT u.file_id, u.line_no, CASE WHEN {S.strip("coalesce(r.text, '')")} <> '' THEN r.text ELSE prefix || '译：' || u.text || suffix END AS out,
+    {S.strip("coalesce(r.text, '')")} <> '' AS resumed FROM u LEFT JOIN resume_lines r ON r.file_id = u.file_id AND r.line_no = u.line_no WHERE translate AND {S.tokens("u.text")} <= {T.unit_limit(65536)}""")
+def q_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Files through the pluggable pipeline with the stub as model, replaying checkpoints.
+
+    Units above the sub-unit limit are left out of the comparison, since every sub-unit gets the stub's mark.
+    """
+    units = U.document_units(file_lines(spark, d))
+    out = P.translate_units(units, P.stub_model, resume=table(spark, d, "resume_lines"))
+    large = units.where(T.tokens(C("unit.text")) > T.unit_limit(65536)).select("file_id", "line_no")
+    return out.join(large, ["file_id", "line_no"], "left_anti").select("file_id", "line_no", "out", "resumed")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.fitting import background, fit_box, line_direction
 from ..operators import units as U
 from ..sources.tables import balanced, document_lines, file_lines, files, table, texts
 from . import sql as S
@@ -367,3 +368,23 @@ def q_enum_normalize(spark: SparkSession, d: str) -> DataFrame:
 def q_source_id(spark: SparkSession, d: str) -> DataFrame:
     made = F.concat(F.substring("source_sha256", 1, 32), F.regexp_extract(F.lower("name"), r"\.[^.]*\z", 0))
     return files(spark, d, "source_sha256", "name").select("file_id", "source_sha256", F.coalesce(made.rlike(r"\A[0-9a-f]{32}\.(docx|epub|pdf)\z"), F.lit(False)).alias("valid"))
+
+
+@query()
+def q_line_direction(spark: SparkSession, d: str) -> DataFrame:
+    """Direction of every line by its first strong character."""
+    return document_lines(spark, d).select("doc_id", "line_no", line_direction(C("line"), F.lit("阿拉伯文")).alias("direction"))
+
+
+@query("SELECT vec_id, coalesce(round(list_aggregate(p, 'median') / 255.0, 5), 1.0) AS background FROM (SELECT vec_id, [round((x + 1) * 100, 0)::DOUBLE FOR x IN embedding[1:16]::DOUBLE[]] AS p FROM embeddings)")
+def q_background(spark: SparkSession, d: str) -> DataFrame:
+    """Background from edge pixels; here pixels are made of vector components."""
+    pixels = F.transform(F.slice(C("embedding").cast("array<double>"), 1, 16), lambda x: F.round((x + 1) * 100, 0))
+    return table(spark, d, "embeddings").select("vec_id", background(pixels).alias("background"))
+
+
+@query()
+def q_fit_text(spark: SparkSession, d: str) -> DataFrame:
+    """Lines set into boxes of one size: the largest size that fits, with its wrapped lines."""
+    df = document_lines(spark, d).withColumn("f", fit_box(C("line"), F.lit(240.0), F.lit(40.0), F.lit(12.0)))
+    return df.select("doc_id", "line_no", F.round("f.size", 4).alias("size"), "f.lines")

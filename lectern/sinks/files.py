@@ -35,3 +35,35 @@ def text_outputs(df: DataFrame) -> DataFrame:
 def write_index(old: DataFrame, new: DataFrame, path: str) -> None:
     """The index with new entries put over the old ones, written as a new snapshot."""
     upserted(old.unionByName(new, allowMissingColumns=True)).write.mode("overwrite").parquet(path)
+
+
+def write_archives(df: DataFrame, folder: str, key: str = "job_id") -> None:
+    """One ZIP per key of rows (key, output_name, content) in a shared folder.
+
+    Rows are clustered and sorted by key; a task writes one archive at a time, member by member, so an archive never
+    has to fit into memory.
+    """
+
+    def publish(rows):
+        import zipfile
+
+        os.makedirs(folder, exist_ok=True)
+        now, held, archive, seen = None, None, None, set()
+
+        def close():
+            if archive is not None:
+                archive.close()
+                os.replace(held, os.path.join(folder, f"{now}.zip"))
+
+        for k, name, content in rows:
+            if k != now or archive is None:
+                close()
+                now, seen = k, set()
+                held = os.path.join(folder, f".{k}.{uuid.uuid4().hex}")
+                archive = zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED)
+            if name not in seen:
+                seen.add(name)
+                archive.writestr(name, bytes(content or b""))
+        close()
+
+    df.repartition(key).sortWithinPartitions(key, "output_name").select(key, "output_name", "content").foreachPartition(publish)

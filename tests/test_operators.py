@@ -148,3 +148,95 @@ def test_pdf_needs_its_library(spark):
     if pdf.pypdf is None:
         with pytest.raises(RuntimeError):
             pdf.pdf_pages(spark.createDataFrame([], "k long, c binary"), "k", "c")
+
+
+def pipeline_units(spark, content):
+    df = spark.createDataFrame([(1, content, "a.txt"), (2, "solo", "b.txt")], "file_id long, t string, name string").withColumn("ext", T.extension(F.col("name")))
+    return U.document_units(lines(df, "file_id", "ext"))
+
+
+def test_pipeline_resumes_and_retries(spark):
+    from lectern.operators import pipeline as P
+
+    resume = spark.createDataFrame([(1, 0, "译：One!"), (1, 2, " ")], "file_id long, line_no int, text string")
+    rows = P.translate_units(pipeline_units(spark, "One.\n\n- Two.\nThree."), P.flaky(P.stub_model, 0.3, 1), P.Settings(retries=30), resume).orderBy("file_id", "line_no").collect()
+    assert [(r.line_no, r.out, r.resumed) for r in rows if r.file_id == 1] == [(0, "译：One!", True), (2, "- 译：Two.", False), (3, "译：Three.", False)]
+
+
+def test_pipeline_errors_end_one_document(spark):
+    from lectern.operators import pipeline as P
+
+    def model(prompt, size):
+        if "Two" in prompt.rpartition("】\n")[2]:
+            raise P.ServiceError(400)
+        return P.stub_model(prompt, size)
+
+    rows = P.translate_units(pipeline_units(spark, "One.\nTwo.\nThree."), model).orderBy("file_id", "line_no").collect()
+    assert [r.error is None for r in rows] == [True, False, False, True]
+
+
+def test_replies_cut_for_length_get_more_room():
+    from lectern.operators import pipeline as P
+
+    asked = []
+
+    def model(prompt, size):
+        asked.append(size)
+        return "x", "length" if size < 2000 else "stop"
+
+    assert P.complete(model, "p", 400, 3000, 9) == "x" and asked == [400, 700, 1225, 2143]
+    with pytest.raises(P.LengthError):
+        P.complete(model, "p", 400, 1000, 9)
+    waits = []
+    with pytest.raises(P.ServiceError):
+        P.complete(P.flaky(P.stub_model, 2, 0), "p", 400, 1000, 3, waits.append)
+    assert waits == [0.0, 0.0]
+
+
+def test_history_is_capped():
+    from lectern.operators import pipeline as P
+
+    history = [(f"s{i}", f"t{i}") for i in range(6)]
+    assert P.recent(history, P.Settings(context_units=3)).count("[原文]") == 3
+    assert P.recent(history, P.Settings(context_mode="unit")) == ""
+    assert P.recent([("x" * 9000, "y")], P.Settings(context_size=2048)) == ""
+
+
+def test_fitting():
+    from lectern.functions.fitting import fitted, wrapped
+
+    assert wrapped("aa bb cc", 10, 30) == ["aa bb", "cc"] and wrapped("abcdefgh", 10, 20) == ["abcd", "efgh"] and wrapped("", 10, 20) == [""]
+    size, lines_ = fitted("one two three four", 40, 30, 12)
+    assert size < 12 and size * 1.15 + (len(lines_) - 1) * size * 1.2 <= 30.01
+    assert fitted("word " * 500, 40, 20, 12) is None and fitted("a", 100, 30, 12)[0] == 12
+
+
+def test_cache_and_archives(spark, tmp_path):
+    import hashlib
+
+    from lectern.sinks.files import write_archives
+    from lectern.sources.cache import binary_files, verified
+
+    data = K.packed(["a"], "docx")
+    good = "0" * 32 + ".docx"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / good).write_bytes(data)
+    manifest = [(good, hashlib.sha256(data).hexdigest(), "docx"), ("1" * 32 + ".epub", "x", "epub"), ("x.docx", "x", "docx"), (good, "0", "docx"), (good, "0", "pdf")]
+    states = verified(binary_files(spark, str(tmp_path / "in")), spark.createDataFrame(manifest, "source_id string, source_sha256 string, source_format string"))
+    assert sorted(r.state for r in states.collect()) == ["bad_id", "digest", "format", "missing", "ok"]
+    rows = spark.createDataFrame([("j", "a.txt", bytearray(b"1")), ("j", "b.txt", bytearray(b"2")), ("k", "a.txt", None)], "job_id string, output_name string, content binary")
+    write_archives(rows, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["j.zip", "k.zip"]
+    assert zipfile.ZipFile(tmp_path / "out" / "j.zip").namelist() == ["a.txt", "b.txt"]
+
+
+def test_streams_survive_a_second_start(spark, tmp_path):
+    from lectern.streaming import events as E
+
+    events = spark.createDataFrame([("j", i, "chunk", 1, "f", 0, i % 2, f"t{i}", None, 3, None, None) for i in range(400)], E.EVENTS)
+    events.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        out = E.run_available(E.latest_partials(E.event_stream(spark, str(tmp_path / "in"))), ["job_id", "file_id", "line_no"], ["seq"], str(tmp_path / "state"))
+        assert sorted((r.line_no, r.text) for r in out.collect()) == [(0, "t398"), (1, "t399")]
+    tail = E.run_available(E.bounded_tail(E.event_stream(spark, str(tmp_path / "in"))), ["job_id"], [], str(tmp_path / "tail")).first()
+    assert list(tail.seqs) == list(range(144, 400))
