@@ -5,8 +5,8 @@ with the dictionary of each language whose script it uses; the smallest output n
 rejects the line. The lines of one document are then read together: the cheapest labelling (bytes, plus a fixed price for
 each change of language) gives maximal segments, so rejected lines follow their neighbours.
 
-Training: the dictionaries come from a bounded sample of labelled rows (SAMPLE_ROWS; a dictionary keeps at most
-DICTIONARY_BYTES). Labels are checked first: a sampled line counts only if its script fits its label and its common
+Training: the dictionaries come from a bounded sample of labelled rows (SAMPLE_ROWS rows of SAMPLE_FILES files; a
+dictionary keeps at most DICTIONARY_BYTES). Labels are checked first: a sampled line counts only if its script fits its label and its common
 words name no other language. The sample goes to the driver (at most SAMPLE_ROWS rows of at most SAMPLE_CHARS
 characters) and the dictionaries (at most 12 x DICTIONARY_BYTES) travel with the tasks.
 
@@ -17,6 +17,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .markup import TEXT, plain, scan
 
 SAMPLE_ROWS = 4_000
 SAMPLE_CHARS = 4_000
+#: The sample is taken from at most so many files of the table, picked by a hash of their names.
+SAMPLE_FILES = 64
 DICTIONARY_BYTES = 48 * 1024
 LEVEL = 3
 #: Bytes that a change of language between two lines must save; a margin under REJECT of the size is narrow.
@@ -210,6 +213,9 @@ def fit(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, dictionary_by
     for r in table(spark, sf_dir, "common_words").select("lang", "word").limit(10_000).collect():
         common[r.lang].add(r.word)
     documents = table(spark, sf_dir, "documents")
+    names = documents.inputFiles()
+    if len(names) > SAMPLE_FILES:
+        documents = spark.read.schema(documents.schema).parquet(*sorted(names, key=lambda n: zlib.crc32(n.rpartition("/")[2].encode()))[:SAMPLE_FILES])
     every = max(1, documents.count() // rows)
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.lower(F.trim("lang")).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     texts: dict[str, list[bytes]] = defaultdict(list)
