@@ -9,9 +9,12 @@ C = F.col
 
 
 def events_once(events: DataFrame) -> DataFrame:
-    """Events logged twice differ in their arrival only; the first arrival stays."""
-    keys = [c for c in events.columns if c != "arrived_at"]
-    return events.groupBy(*keys).agg(F.min("arrived_at").alias("arrived_at"))
+    """Events logged twice differ in their arrival only; (job_id, seq) is their key and the first arrival stays.
+
+    One aggregate per column, so that columns which nobody asks for are neither read nor shuffled.
+    """
+    rest = [c for c in events.columns if c not in ("job_id", "seq", "arrived_at")]
+    return events.groupBy("job_id", "seq").agg(*(F.any_value(c).alias(c) for c in rest), F.min("arrived_at").alias("arrived_at"))
 
 
 def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -29,10 +32,26 @@ def upserted(index: DataFrame) -> DataFrame:
 def tail(events: DataFrame, most: int = 256) -> DataFrame:
     """What a bounded queue that drops its oldest entries still holds.
 
-    Spark prunes each task's rows to the first `most` of a job before the shuffle (rank limit pushed below the window).
+    Ranked densely, so doubled events share a rank and are dropped afterwards, inside the window's partitions: one
+    shuffle, before which Spark prunes each task's rows to the first `most` ranks of a job.
     """
     order = Window.partitionBy("job_id").orderBy(F.desc("seq"))
-    return events.withColumn("_n", F.row_number().over(order)).where(C("_n") <= most).drop("_n")
+    return events.withColumn("_n", F.dense_rank().over(order)).where(C("_n") <= most).drop("_n").distinct()
+
+
+def turns(files: DataFrame, most: int = 1024) -> DataFrame:
+    """Adds turn to (job_id, first, idx, file_id): priority files before the others, both in the order of idx.
+
+    A job may hold a third of all files: ranks are made within buckets of idx, and only the buckets' counts are summed
+    over a job.
+    """
+    order = ["rest", "bucket"]
+    df = files.withColumn("rest", (~C("first")).cast("int")).withColumn("bucket", F.expr(f"coalesce(idx, -1) div {most}"))
+    counts = df.groupBy("job_id", *order).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy("job_id", *order).orderBy("idx", "file_id"))
+    return df.withColumn("own", own).join(offsets, ["job_id", *order]).withColumn("turn", C("own") + C("offset")).drop("own", "offset", *order)
 
 
 def retained(sizes: Column, most: int, most_chars: int) -> Column:

@@ -40,7 +40,8 @@ _INDEX = "x AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION
 
 @query(f"WITH {_EV} SELECT job_id, file_id, line_no, arg_max(text, seq) AS text, max(seq) AS seq FROM e WHERE kind = 'chunk' AND text IS NOT NULL GROUP BY ALL")
 def q_partials_latest(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _events(spark, d).where("kind = 'chunk' and text is not null")
+    # A doubled event changes no maximum, so nothing is made distinct first.
+    chunks = table(spark, d, "job_events").where("kind = 'chunk' and text is not null")
     return chunks.groupBy("job_id", "file_id", "line_no").agg(F.max_by("text", "seq").alias("text"), F.max("seq").alias("seq"))
 
 
@@ -48,7 +49,7 @@ def q_partials_latest(spark: SparkSession, d: str) -> DataFrame:
     SELECT job_id, file_id, line_no, arg_max(text, e.seq) AS text FROM e LEFT JOIN c USING (job_id, file_id)
     WHERE kind = 'line_done' AND text IS NOT NULL AND (cleared IS NULL OR e.seq > cleared) GROUP BY ALL""")
 def q_completed_partials(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
+    e = table(spark, d, "job_events")
     done = e.where("kind = 'file_done'").groupBy("job_id", "file_id").agg(F.max("seq").alias("cleared"))
     kept = e.where("kind = 'line_done' and text is not null").join(done, ["job_id", "file_id"], "left").where("cleared is null or seq > cleared")
     return kept.groupBy("job_id", "file_id", "line_no").agg(F.max_by("text", "seq").alias("text"))
@@ -56,7 +57,7 @@ def q_completed_partials(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_EV} SELECT job_id, seq, kind FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS n FROM e) WHERE n <= 256")
 def q_event_tail(spark: SparkSession, d: str) -> DataFrame:
-    return J.tail(_events(spark, d).select("job_id", "seq", "kind"))
+    return J.tail(table(spark, d, "job_events").select("job_id", "seq", "kind"))
 
 
 @query(f"""WITH {S.UNITS}, r AS (SELECT file_id, line_no FROM resume_lines WHERE {S.strip("coalesce(text, '')")} <> '' GROUP BY ALL)
@@ -71,7 +72,7 @@ def q_progress(spark: SparkSession, d: str) -> DataFrame:
     max(total) FILTER (kind IN ('file_progress', 'line_done')) AS total FROM e GROUP BY ALL""")
 def q_job_progress(spark: SparkSession, d: str) -> DataFrame:
     # Files of a job first, jobs after: no distinct set of a hot job has to fit into one task.
-    per_file = _events(spark, d).groupBy("job_id", "file_id").agg(F.max((C("kind") == "file_done").cast("int")).alias("done"), F.max((C("kind") == "fail").cast("int")).alias("failed"), F.max(F.when(C("kind").isin("file_progress", "line_done"), C("total"))).alias("total"))
+    per_file = table(spark, d, "job_events").groupBy("job_id", "file_id").agg(F.max((C("kind") == "file_done").cast("int")).alias("done"), F.max((C("kind") == "fail").cast("int")).alias("failed"), F.max(F.when(C("kind").isin("file_progress", "line_done"), C("total"))).alias("total"))
     known = C("file_id").isNotNull().cast("int")
     return per_file.groupBy("job_id").agg(F.sum(C("done") * known).alias("done"), F.sum(C("failed") * known).alias("failed"), F.max("total").alias("total"))
 
@@ -87,7 +88,7 @@ def q_snapshot(spark: SparkSession, d: str) -> DataFrame:
 def q_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Subtitle files have priority; within both groups the original order holds."""
     df = files(spark, d, "job_id", "name", "idx").withColumn("first", T.extension(C("name")).isin(U.SUBTITLES))
-    return df.select("file_id", "job_id", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("first"), "idx", "file_id")).alias("turn"))
+    return J.turns(df).select("file_id", "job_id", "turn")
 
 
 _TTL_DAYS, _MOST, _CHARS = 60, 50, 60_000
@@ -368,7 +369,7 @@ def q_config_overlay(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_EV}, k AS (SELECT job_id, kind, min(seq) AS seq FROM e GROUP BY ALL) SELECT job_id, string_agg(kind, ',' ORDER BY seq) AS kinds FROM k GROUP BY job_id""")
 def q_ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of a job's events in the order of their first occurrence; at most one row per kind is gathered."""
-    first = _events(spark, d).groupBy("job_id", "kind").agg(F.min("seq").alias("seq"))
+    first = table(spark, d, "job_events").groupBy("job_id", "kind").agg(F.min("seq").alias("seq"))
     return first.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"]), ",").alias("kinds"))
 
 
