@@ -25,12 +25,12 @@ from .tokenizer import sizes
 
 ROUNDS = 1200
 #: Share of the allowed multiplicity that a priced configuration takes.
-STEP = 0.34
+STEP = 1.0
 #: Lengths priced in one round: those of the largest weighted remainder.
 PRICED = 224
 ETA = 2.5
 #: How far the weights move a length's price.
-SWAY = 0.01
+SWAY = 0.003
 #: A priced configuration below this fill is left to the rounding.
 FULL = 0.995
 
