@@ -186,7 +186,7 @@ def q_translate_stub(spark: SparkSession, d: str) -> DataFrame:
 _DU = f"""dx AS (SELECT doc_id, line_no, line, regexp_extract(line, {S.PLAIN}, 1) AS prefix, regexp_extract(line, {S.PLAIN}, 2) AS text, regexp_extract(line, {S.PLAIN}, 3) AS suffix FROM dl)"""
 
 
-@query(f"""WITH {S.DOCS}, {_DU} SELECT doc_id, count_if(text <> '') AS n_units, sha256(string_agg(CASE WHEN text <> '' THEN prefix || '译：' || text || suffix ELSE line END, chr(10) ORDER BY line_no)) AS out_digest
+@query(f"""WITH {S.DOCS}, {_DU} SELECT doc_id, count_if(text <> '')::BIGINT AS n_units, sha256(string_agg(CASE WHEN text <> '' THEN prefix || '译：' || text || suffix ELSE line END, chr(10) ORDER BY line_no)) AS out_digest
     FROM dx GROUP BY doc_id""")
 def q_translate_document(spark: SparkSession, d: str) -> DataFrame:
     """Plain documents through the pipeline: units, stub, reassembly."""
@@ -196,7 +196,7 @@ def q_translate_document(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_units", F.sha2("out", 256).alias("out_digest"))
 
 
-@query(f"""WITH {S.UNITS} SELECT file_id, count_if(translate) AS n_units, sha256(string_agg(CASE WHEN translate THEN prefix || '译：' || text || suffix ELSE line END, chr(10) ORDER BY line_no)) AS out_digest FROM u GROUP BY file_id""")
+@query(f"""WITH {S.UNITS} SELECT file_id, count_if(translate)::BIGINT AS n_units, sha256(string_agg(CASE WHEN translate THEN prefix || '译：' || text || suffix ELSE line END, chr(10) ORDER BY line_no)) AS out_digest FROM u GROUP BY file_id""")
 def q_translate_file(spark: SparkSession, d: str) -> DataFrame:
     """Files of every format through the pipeline."""
     units = U.translated(U.document_units(file_lines(spark, d)))

@@ -78,10 +78,10 @@ def q_job_progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH j AS (SELECT DISTINCT * FROM jobs) SELECT job_id, kind, status, total, done, CASE WHEN status = 'running' THEN current_file END AS current_file,
-    CASE WHEN status <> 'running' THEN finished_at END AS finished_at, status <> 'running' AS full_payload FROM j""")
+    CASE WHEN status <> 'running' THEN strftime(finished_at, '%Y-%m-%d %H:%M:%S.%f') END AS finished_at, status <> 'running' AS full_payload FROM j""")
 def q_snapshot(spark: SparkSession, d: str) -> DataFrame:
     running = C("status") == "running"
-    return _jobs(spark, d).select("job_id", "kind", "status", "total", "done", F.when(running, C("current_file")).alias("current_file"), F.when(~running, C("finished_at")).alias("finished_at"), (~running).alias("full_payload"))
+    return _jobs(spark, d).select("job_id", "kind", "status", "total", "done", F.when(running, C("current_file")).alias("current_file"), F.when(~running, F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("finished_at"), (~running).alias("full_payload"))
 
 
 @query(f"""WITH {S.FILES} SELECT file_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY (ext IN ('.srt', '.vtt')) DESC, idx, file_id) AS turn FROM nf""")
@@ -170,9 +170,9 @@ def q_budget_growth(spark: SparkSession, d: str) -> DataFrame:
     return df.select("choice_id", F.posexplode(J.grown_budgets(C("max_tokens"), F.lit(4000), 5)).alias("step", "budget"))
 
 
-@query(f"WITH {_INDEX} SELECT output_name, source_name, source_sha256, target_language, written_at FROM x")
+@query(f"WITH {_INDEX} SELECT output_name, source_name, source_sha256, target_language, strftime(written_at, '%Y-%m-%d %H:%M:%S.%f') AS written_at FROM x")
 def q_index_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return J.upserted(table(spark, d, "output_index")).select("output_name", "source_name", "source_sha256", "target_language", "written_at")
+    return J.upserted(table(spark, d, "output_index")).select("output_name", "source_name", "source_sha256", "target_language", F.date_format("written_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("written_at"))
 
 
 @query(f"WITH {_INDEX}, {S.FILES} SELECT output_name FROM x WHERE source_name NOT IN (SELECT name FROM f WHERE translated_content IS NULL AND name IS NOT NULL) OR source_name IS NULL")
@@ -253,7 +253,7 @@ def q_update_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_INDEX}, v AS (SELECT *, {S.EXT.replace("name", "output_name")} AS ext FROM x)
-    SELECT count_if(ext IN ('.docx', '.epub', '.pdf')) AS source_files, count_if(ext NOT IN ('.docx', '.epub', '.pdf')) AS auxiliary_files,
+    SELECT count_if(ext IN ('.docx', '.epub', '.pdf'))::BIGINT AS source_files, count_if(ext NOT IN ('.docx', '.epub', '.pdf'))::BIGINT AS auxiliary_files,
            sum(length(coalesce(preview_content, '')))::BIGINT AS total_chars FROM v""")
 def q_cache_stats(spark: SparkSession, d: str) -> DataFrame:
     df = J.upserted(table(spark, d, "output_index")).withColumn("b", T.extension(C("output_name")).isin(U.BINARY))

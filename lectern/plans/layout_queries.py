@@ -132,14 +132,18 @@ def q_chars_in_box(spark: SparkSession, d: str) -> DataFrame:
     return L.chars_in_boxes(boxes.drop("size", "text"), _chars(boxes)).select("page", "box", "ch")
 
 
+def _rgb_columns(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, C("color")[0].alias("r"), C("color")[1].alias("g"), C("color")[2].alias("b"))
+
+
 @query(f"""WITH {_B}, {_CHARS}, k AS (SELECT page, box, [round(x, 4) FOR x IN color] AS color, count(*) AS n, min(ch) AS first FROM {_INSIDE} GROUP BY ALL)
-    SELECT page, box, arg_max(color, n * 1000 - first) AS color FROM k GROUP BY page, box""")
+    SELECT page, box, c[1] AS r, c[2] AS g, c[3] AS b FROM (SELECT page, box, arg_max(color, n * 1000 - first) AS c FROM k GROUP BY page, box)""")
 def q_dominant_color(spark: SparkSession, d: str) -> DataFrame:
     """The colour of most characters of a box, the first seen among equals."""
     boxes = _boxes(spark, d)
     seen = L.chars_in_boxes(boxes.drop("size", "text"), _chars(boxes)).withColumn("color", F.transform(L.rgb(C("color")), lambda x: F.round(x, 4)))
     counts = seen.groupBy("page", "box", "color").agg(F.count("*").alias("n"), F.min("ch").alias("first"))
-    return counts.groupBy("page", "box").agg(F.max_by("color", F.struct("n", -C("first"))).alias("color"))
+    return _rgb_columns(counts.groupBy("page", "box").agg(F.max_by("color", F.struct("n", -C("first"))).alias("color")), "page", "box")
 
 
 @query(f"""WITH {_B}, {_CHARS}, z AS (SELECT page, box, any_value(x0) AS x0, any_value(x1) AS x1, any_value(top) AS top, any_value(bottom) AS bottom, list_sort(list(ch.size)) AS s FROM {_INSIDE} GROUP BY ALL),
@@ -187,12 +191,12 @@ _COMPONENTS = """CASE l_linenumber % 4 WHEN 0 THEN [l_discount * 10] WHEN 1 THEN
 
 
 @query(f"""WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, {_COMPONENTS} AS c FROM lineitem), m AS (SELECT *, [least(1.0, greatest(0.0, x)) FOR x IN c] AS m FROM k)
-    SELECT l_orderkey, l_linenumber, l_partkey, [round(x, 6) FOR x IN CASE len(c) WHEN 1 THEN [m[1], m[1], m[1]] WHEN 3 THEN m WHEN 4 THEN [1 - least(1.0, m[1] + m[4]), 1 - least(1.0, m[2] + m[4]), 1 - least(1.0, m[3] + m[4])]
-    ELSE [0.08::DOUBLE, 0.08, 0.08] END] AS rgb FROM m""")
+    SELECT l_orderkey, l_linenumber, l_partkey, z[1] AS r, z[2] AS g, z[3] AS b FROM (SELECT l_orderkey, l_linenumber, l_partkey, [round(x, 6) FOR x IN CASE len(c) WHEN 1 THEN [m[1], m[1], m[1]] WHEN 3 THEN m WHEN 4 THEN [1 - least(1.0, m[1] + m[4]), 1 - least(1.0, m[2] + m[4]), 1 - least(1.0, m[3] + m[4])]
+    ELSE [0.08::DOUBLE, 0.08, 0.08] END] AS z FROM m)""")
 def q_rgb(spark: SparkSession, d: str) -> DataFrame:
     n = C("l_linenumber") % 4
     parts = F.when(n == 0, F.array(C("l_discount") * 10)).when(n == 1, F.array(C("l_discount") * 15 - 0.1, C("l_tax"), F.lit(1.5))).when(n == 2, F.array(C("l_discount"), C("l_tax"), F.lit(0.5), C("l_discount") * 5)).otherwise(F.array("l_tax", "l_tax"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.transform(L.rgb(parts), lambda x: F.round(x, 6)).alias("rgb"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.transform(L.rgb(parts), lambda x: F.round(x, 6)).alias("color")).transform(_rgb_columns, "l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("""WITH k AS (SELECT p_partkey, p_size * 30.0::DOUBLE AS w, p_retailprice AS h, (p_partkey % 5 * 90)::INT AS r FROM part), t AS (SELECT *, (r % 360) IN (90, 270) AS turn FROM k),
@@ -213,11 +217,12 @@ def q_page_crop(spark: SparkSession, d: str) -> DataFrame:
     return df.select("p_partkey", ((F.abs(C("c0") - C("m0")) > 0.01) | (F.abs(C("c1") - C("m1")) > 0.01)).alias("distinct_crop"), (C("c0") - C("m0")).alias("left"), (C("m1") - C("c1")).alias("top"), fine.alias("supported"))
 
 
-@query("""SELECT vec_id, [round(x, 4) + 0.0 FOR x IN [a[1]*b[1] + a[2]*b[3], a[1]*b[2] + a[2]*b[4], a[3]*b[1] + a[4]*b[3], a[3]*b[2] + a[4]*b[4], a[5]*b[1] + a[6]*b[3] + b[5], a[5]*b[2] + a[6]*b[4] + b[6]]] AS m
-    FROM (SELECT vec_id, embedding[1:6]::DOUBLE[] AS a, embedding[7:12]::DOUBLE[] AS b FROM embeddings)""")
+@query("""SELECT vec_id, m[1] AS m0, m[2] AS m1, m[3] AS m2, m[4] AS m3, m[5] AS m4, m[6] AS m5 FROM (SELECT vec_id, [round(x, 4) + 0.0 FOR x IN [a[1]*b[1] + a[2]*b[3], a[1]*b[2] + a[2]*b[4], a[3]*b[1] + a[4]*b[3], a[3]*b[2] + a[4]*b[4], a[5]*b[1] + a[6]*b[3] + b[5], a[5]*b[2] + a[6]*b[4] + b[6]]] AS m
+    FROM (SELECT vec_id, embedding[1:6]::DOUBLE[] AS a, embedding[7:12]::DOUBLE[] AS b FROM embeddings))""")
 def q_matrix_mul(spark: SparkSession, d: str) -> DataFrame:
     e = C("embedding").cast("array<double>")
-    return table(spark, d, "embeddings").select("vec_id", F.transform(L.matrix_product(F.slice(e, 1, 6), F.slice(e, 7, 6)), lambda x: F.round(x, 4) + 0.0).alias("m"))
+    df = table(spark, d, "embeddings").select("vec_id", L.matrix_product(F.slice(e, 1, 6), F.slice(e, 7, 6)).alias("m"))
+    return df.select("vec_id", *((F.round(C("m")[i], 4) + 0.0).alias(f"m{i}") for i in range(6)))
 
 
 _OCR = rf"""o AS (SELECT doc_id, line_no, line, regexp_replace(line, '[{S.IN}]+', '', 'g') AS k, (doc_id * 7 + line_no) % 100 / 100.0::DOUBLE AS score, length(line) * 6.0::DOUBLE AS w, (8 + line_no % 60)::DOUBLE AS h FROM dl)"""
@@ -236,7 +241,7 @@ _LABEL = r"'^(?:[0-9]{1,4}|[ivxlcdmIVXLCDM]{1,12})(?:\s*[-–]\s*[0-9]{1,4})?$'"
 
 @query(rf"""WITH {S.DOCS}, c AS (SELECT doc_id, line_no, list_filter(list_transform(string_split_regex({S.strip("line")}, '[ \t]{{4,}}'), lambda x: {S.collapsed("x")}), lambda x: x <> '') AS c FROM dl WHERE {S.strip("line")} <> ''),
     r AS (SELECT doc_id, len(c) >= 2 AND regexp_matches(c[-1], {_LABEL}) AS numbered FROM c WHERE len(c) > 0)
-    SELECT doc_id, count(*) AS n_rows, count_if(numbered) AS n_numbered, count(*) >= 5 AND count_if(numbered) >= greatest(4, (count(*) + 1) // 2) AS toc FROM r GROUP BY doc_id""")
+    SELECT doc_id, count(*) AS n_rows, count_if(numbered)::BIGINT AS n_numbered, count(*) >= 5 AND count_if(numbered) >= greatest(4, (count(*) + 1) // 2) AS toc FROM r GROUP BY doc_id""")
 def q_toc_rows(spark: SparkSession, d: str) -> DataFrame:
     """Contents pages: rows of cells divided by wide gaps, mostly with a page label at the end."""
     cells = F.filter(F.transform(F.split(T.strip(C("line")), r"[ \t]{4,}"), T.collapsed), lambda x: x != "")
