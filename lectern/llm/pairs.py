@@ -162,16 +162,20 @@ def containment(a: list[str], b: list[str], size: int = SHINGLE) -> float:
 
 
 def letters_kept(asked: list[str], given: set[str], answer: list[str]) -> float:
-    """Near the threshold the share is taken by letters: each prompt line counts as far as it comes back in order."""
+    """Near the threshold the share is taken by letters: each prompt line counts as far as its shingles come back."""
+    held = {n: set(zip(*(answer[i:] for i in range(n)))) for n in range(1, SHINGLE + 1)}
     kept = total = 0.0
     for line in asked:
         n = len("".join(line.split()))
         total += n
+        own = tokens(line)
         if line in given:
             kept += n
-        elif own := tokens(line):
-            share = subsequence(own, answer) / len(own) if containment(own, answer) > 0.5 else 0.0
-            kept += n * share
+        elif own:
+            size = min(SHINGLE, len(own))
+            shingles = list(zip(*(own[i:] for i in range(size))))
+            share = sum(x in held[size] for x in shingles) / len(shingles)
+            kept += n * share if share > 0.5 else 0.0
     return kept / total if total else 0.0
 
 

@@ -35,7 +35,7 @@ _WORDS = re.compile(r"\w+")
 _UNSPACED = re.compile(r"[ก-๎぀-ヿ㐀-鿿]")
 _LINE_END = re.compile(r"[.!?。！？…؟:：;][\"'”’»›」』）)\]“*_]*\s*$")
 _MARKED = re.compile(r"\s*(?:[-–—•·・*+▪◦‣○●■□–]|\[[ xX]?\]|[☐☑✓]|\(?\d{1,4}[.)、]|\(?[A-Za-z]\)|[a-z]\.)\s+\S|\s*[・•]\S")
-_LEADER = re.compile(r"(?<!^)(?:\.{3,}|…{2,}|·{3,}|_{3,}|(?:\. ){3,})\s*(?:\d+|[ivxlc]+)\s*$")
+_LEADER = re.compile(r"(?<!^)(?:(?<!\.)\.{3,}|(?<!…)…{2,}|(?<!·)·{3,}|(?<!_)_{3,}|(?<!\. )(?:\. ){3,})\s*(?:\d+|[ivxlc]+)\s*$")
 _INDEX = re.compile(r"\s*[^,|\t]{1,60}?,(?:\s+\d+(?:[–-]\d+)?,?)+\s*$")
 _GLOSS = re.compile(r"\s*[^\s:：=|]+(?:\s[^\s:：=|]+){0,3}\s*(?::|：|=|\s[—–-])\s+\S")
 _FIELDS = {d: re.compile(p) for d, p in (("|", r"\|"), (";", r";"), ("\t", r"\t"), (",", r",(?!\s)"))}

@@ -330,8 +330,12 @@ def _short(df: DataFrame) -> DataFrame:
     return df.mapInArrow(each, "file_id long, start_char long, end_char long")
 
 
+_FOUND = pa.schema([("file_id", pa.int64()), ("chunk", pa.int32()), ("found", pa.list_(pa.int64())), ("before", pa.list_(pa.int64())), ("first", pa.int64()), ("last", pa.int64())])
+
+
 def _chunked(df: DataFrame, chunk: int, entry: bool) -> DataFrame:
-    """Per chunk its function, or with known entry states the starts of its units."""
+    """Per chunk its function; or with known entry states the starts of its units, the end of the text before each
+    (-1 where only blanks of the margin lie before it), and its first and last non-blank places."""
 
     def each(batches):
         for batch in batches:
@@ -340,32 +344,43 @@ def _chunked(df: DataFrame, chunk: int, entry: bool) -> DataFrame:
             for i, (k, n, text) in enumerate(zip(cols["file_id"], cols["chunk"], cols["text"])):
                 base = max(0, n * chunk - MARGIN)
                 own = [(s, base + at) for s, at in lex(text) if n * chunk <= base + at < (n + 1) * chunk]
-                out.append((k, n, run(own, cols["entry"][i])[0] if entry else function(own)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["file_id", "chunk", "found"])
+                if not entry:
+                    out.append((k, n, function(own), None, None, None))
+                    continue
+                starts = run(own, cols["entry"][i])[0]
+                ends = [base + len(t) if (t := text[: at - base].rstrip()) else -1 for at in starts]
+                body = text[n * chunk - base : (n + 1) * chunk - base]
+                blank = not body.strip()
+                out.append((k, n, starts, ends, None if blank else n * chunk + len(body) - len(body.lstrip()), None if blank else n * chunk + len(body.rstrip())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_FOUND)], schema=_FOUND)
 
-    return df.mapInArrow(each, "file_id long, chunk int, found array<long>")
+    return df.mapInArrow(each, "file_id long, chunk int, found array<long>, before array<long>, first long, last long")
 
 
 def sentence_units(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
-    """(file_id, start_char, end_char) of every unit of every row's text."""
+    """(file_id, start_char, end_char) of every unit of every row's text. A chunk is at least MARGIN long."""
     rows = df.select(F.col(key).cast("long").alias("file_id"), normal_column(F.col(text)).alias("text")).where("text is not null and file_id is not null")
     short = _short(rows.where(F.length("text") <= chunk))
     # Deliveries of one file are equal: only long texts need to be told apart by key, so only they are made distinct.
     long = rows.where(F.length("text") > chunk).dropDuplicates(["file_id"])
-    parts = long.select("file_id", "text", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {chunk} as int))")).alias("chunk"))
-    base = f"greatest(0, chunk * {chunk} - {MARGIN})"
-    parts = parts.select("file_id", "chunk", F.expr(f"substring(text, {base} + 1, (chunk + 1) * {chunk} + {MARGIN} - {base})").alias("text"))
+    # One pass cuts the text; every chunk takes the margins from its neighbours.
+    cut = long.select("file_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
+    with_margins = f"transform(c, (x, i) -> struct(i as chunk, concat(coalesce(right(get(c, i - 1), {MARGIN}), ''), x, coalesce(left(get(c, i + 1), {MARGIN}), '')) as text))"
+    parts = cut.select("file_id", F.explode(F.expr(with_margins)).alias("p")).select("file_id", "p.chunk", "p.text")
     functions = _chunked(parts, chunk, False).groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "found"))), lambda x: x["found"]).alias("f"))
     # The prefix scan: entry state of each chunk by applying the functions before it, state 0 first.
     entries = functions.select("file_id", F.posexplode(F.expr("aggregate(slice(f, 1, size(f) - 1), array(cast(0 as bigint)), (a, g) -> concat(a, array(g[cast(element_at(a, -1) as int)])))")).alias("chunk", "entry"))
-    starts = _chunked(parts.join(entries, ["file_id", "chunk"]), chunk, True).groupBy("file_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "found"))), lambda x: x["found"])).alias("starts"))
-    first = F.length("text") - F.length(F.regexp_replace("text", r"(?U)\A[\s\x1c-\x1f]+", ""))
-    spans = long.join(starts, "file_id").withColumn("_first", first.cast("long"))
-    spans = spans.withColumn("starts", F.when(F.coalesce(F.element_at("starts", 1) > F.col("_first"), F.lit(True)), F.concat(F.array("_first"), "starts")).otherwise(F.col("starts")))
-    spans = spans.select("file_id", "text", F.expr("posexplode(arrays_zip(starts, concat(slice(starts, 2, size(starts)), array(cast(length(text) as bigint)))))").alias("_n", "s"))
-    body = F.regexp_replace(F.expr("substring(text, cast(s['starts'] as int) + 1, cast(s['1'] - s['starts'] as int))"), r"(?U)[\s\x1c-\x1f]+\z", "")
-    spans = spans.select("file_id", F.col("s")["starts"].alias("start_char"), (F.col("s")["starts"] + F.length(body)).alias("end_char")).where("end_char > start_char")
-    return short.unionByName(spans)
+    found = _chunked(parts.join(entries, ["file_id", "chunk"]), chunk, True)
+    earlier = F.max("last").over(Window.partitionBy("file_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("_e", F.coalesce(earlier, F.lit(0))).withColumn("before", F.expr("transform(before, x -> if(x < 0, _e, x))"))
+    flat = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", c))), lambda x: x[c]))
+    docs = found.groupBy("file_id").agg(flat("found").alias("s"), flat("before").alias("b"), F.min("first").alias("first"), F.max("last").alias("last")).where("first is not null")
+    # A text that opens with something that begins no unit still belongs to one.
+    opened = F.coalesce(F.get("s", F.lit(0)) > F.col("first"), F.lit(True))
+    starts = F.when(opened, F.concat(F.array("first"), "s")).otherwise(F.col("s"))
+    ends = F.concat(F.when(opened, F.col("b")).otherwise(F.expr("slice(b, 2, size(b))")), F.array("last"))
+    spans = docs.select("file_id", F.explode(F.arrays_zip(starts.alias("start_char"), ends.alias("end_char"))).alias("z")).select("file_id", "z.start_char", "z.end_char")
+    return short.unionByName(spans.where("end_char > start_char"))
 
 
 def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

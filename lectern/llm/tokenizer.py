@@ -98,18 +98,16 @@ def _boundaries(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
     def run(batches):
         find = _pretokens().finditer
         for batch in batches:
-            rows = batch.to_pydict()
             head, tail = [], []
-            for n, text in zip(rows["chunk"], rows["text"]):
-                base, size = n * chunk, len(text)
-                whole = size < chunk + overlap
+            for n, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                base, whole = n * chunk, len(text) < chunk + overlap
                 starts = [m.start() for m in find(text)]
                 head.append([base + p for p in starts if p < overlap] if n else [])
                 # A pre-token that touches the chunk's end may go on beyond it, and \s+(?!\S) looks one sign ahead.
                 tail.append([base + p for p in starts[:-1] if p >= chunk] if not whole else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=["key", "chunk", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=["key", "chunk", "text", "head", "tail"])
 
-    return df.mapInArrow(run, "key long, chunk int, head array<int>, tail array<int>")
+    return df.mapInArrow(run, "key long, chunk int, text string, head array<long>, tail array<long>")
 
 
 def encode(df: DataFrame, key: str, text: str, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -118,16 +116,20 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, chunk: i
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     short = _encoded(rows.where(F.col("text").isNull() | (F.length("text") <= chunk)), "key long", path)
     long = rows.where(F.length("text") > chunk)
-    # Chunks that hold nothing but the overlap of the one before add nothing.
-    chunks = long.select("key", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(text) - 1) div {chunk} as int)"))).alias("chunk"), "text")
-    chunks = chunks.select("key", "chunk", F.expr(f"substring(text, chunk * {chunk} + 1, {chunk + overlap})").alias("text"))
-    at = Window.partitionBy("key").orderBy("chunk")
-    stitched = _boundaries(chunks, chunk, overlap).withColumn("at", F.array_min(F.array_intersect("tail", F.lead("head").over(at))))
-    # Boundaries between pieces; a null means that two chunks stay joined.
-    cuts = stitched.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("cuts"))
-    pieces = long.join(cuts, "key").select("key", "text", F.expr("concat(array(0), cuts, array(length(text)))").alias("cuts"))
-    pieces = pieces.select("key", "text", "cuts", F.explode(F.expr("sequence(0, size(cuts) - 2)")).alias("piece"))
-    pieces = pieces.select("key", "piece", F.expr("substring(text, cuts[piece] + 1, cuts[piece + 1] - cuts[piece])").alias("text"))
+    # One pass cuts the text; every chunk takes its overlap from the next.
+    cut = long.select("key", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
+    chunks = cut.select("key", F.explode(F.expr(f"transform(c, (x, i) -> struct(i as chunk, concat(x, coalesce(left(get(c, i + 1), {overlap}), '')) as text))")).alias("p")).select("key", "p.chunk", "p.text")
+    order = Window.partitionBy("key").orderBy("chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # `at` ends a piece inside a chunk's overlap; chunks without one stay joined with their followers.
+    stitched = _boundaries(chunks, chunk, overlap).withColumn("at", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
+    stitched = stitched.withColumn("piece", F.coalesce(F.count("at").over(before), F.lit(0)).cast("int")).withColumn("start", F.coalesce(F.last("at", True).over(before), F.lit(0)))
+    held = stitched.groupBy("key", "piece").agg(F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("l"), F.min("start").alias("start"), F.max("at").alias("at"))
+    last = F.element_at("l", -1)
+    body = F.array_join(F.transform(F.slice("l", F.lit(1), F.size("l") - 1), lambda x: F.left(x["text"], F.lit(chunk))), "")
+    end = F.when(F.col("at").isNull(), F.length(last["text"])).otherwise((F.col("at") - last["chunk"] * F.lit(chunk)).cast("int"))
+    whole = F.concat(body, F.left(last["text"], end))
+    pieces = held.select("key", "piece", F.substr(whole, (F.col("start") - F.element_at("l", 1)["chunk"] * F.lit(chunk) + 1).cast("int")).alias("text"))
     joined = _encoded(pieces, "key long, piece int", path).groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
     return short.unionByName(joined).withColumnRenamed("key", key)
 
