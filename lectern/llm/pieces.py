@@ -47,19 +47,21 @@ def pieces(df: DataFrame, key: str, text: str, capacity: int, overlap: int) -> D
     whole = F.when(F.length("_text") <= capacity, F.array("_text")).otherwise(runs(F.col("_text"), capacity, overlap))
     out = df.select(F.col(key).alias("_key"), normal_column(F.col(text)).alias("_text")).where("length(_text) > 0").withColumn("_runs", whole)
     # Running ends in one pass: an array of lengths folded into an array of sums.
-    ends = F.expr("aggregate(_runs, cast(array(0) as array<int>), (a, r) -> concat(a, array(element_at(a, -1) + length(r))))")
-    out = out.withColumn("_ends", ends).select("_key", "_text", "_ends", F.posexplode("_runs").alias("piece", "_run"))
-    end = F.element_at("_ends", F.col("piece") + 2)
-    start = F.greatest(F.element_at("_ends", F.col("piece") + 1) - F.when(F.col("piece") > 0, overlap).otherwise(0), F.lit(0))
+    out = out.withColumn("_ends", F.expr("aggregate(_runs, cast(array(0) as array<int>), (a, r) -> concat(a, array(element_at(a, -1) + length(r))))"))
+    # The look-back comes from the two runs before, which nearly always hold it; else from the text itself.
+    near = f"right(concat(coalesce(get(_runs, i - 2), ''), coalesce(get(_runs, i - 1), '')), {overlap})"
+    back = f"if(i > 2 and length(_runs[i - 1]) + length(_runs[i - 2]) < {overlap}, substring(_text, greatest(0, _ends[i] - {overlap}) + 1, least({overlap}, _ends[i])), {near})"
+    each = f"transform(_runs, (r, i) -> struct(i as piece, if(i = 0, 0, greatest(0, _ends[i] - {overlap})) as start_char, _ends[i + 1] as end_char, i = size(_runs) - 1 as last, r as run, if(i = 0, r, concat({back}, r)) as piece_text))"
+    out = out.select("_key", F.explode(F.expr(each)).alias("p")).select("_key", "p.*")
     cut = (
-        F.when(end == F.element_at("_ends", -1), "end")
-        .when(F.col("_run").rlike(r"\n[ \t]{0,8}\n\z"), "paragraph")
-        .when(F.col("_run").rlike(r"\n\z"), "line")
-        .when(F.col("_run").rlike(rf"(?U)[{STOPS}][{_CLOSERS}]{{0,3}}\z"), "sentence")
-        .when(F.col("_run").rlike(rf"(?U)[{SPACE}]\z"), "word")
+        F.when(F.col("last"), "end")
+        .when(F.col("run").rlike(r"\n[ \t]{0,8}\n\z"), "paragraph")
+        .when(F.col("run").rlike(r"\n\z"), "line")
+        .when(F.col("run").rlike(rf"(?U)[{STOPS}][{_CLOSERS}]{{0,3}}\z"), "sentence")
+        .when(F.col("run").rlike(rf"(?U)[{SPACE}]\z"), "word")
         .otherwise("hard")
     )
-    return out.select(F.col("_key").alias(key), "piece", start.alias("start_char"), end.alias("end_char"), cut.alias("cut"), F.expr("substring(_text, start_char + 1, end_char - start_char)").alias("piece_text"))
+    return out.select(F.col("_key").alias(key), "piece", "start_char", "end_char", cut.alias("cut"), "piece_text")
 
 
 def limits(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
