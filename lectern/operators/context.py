@@ -164,3 +164,26 @@ def windows(costs: Column, edges: Column, budget: int) -> Column:
 
     start = F.struct(F.lit(0).alias("at"), sums.alias("sums"), F.array().cast(return_type).alias("out"))
     return F.aggregate(costs, start, step)["out"]
+
+
+def trimmed(units: Column, first: Column, last: Column, before: int, after: int, budget: int) -> Column:
+    """The excerpt of a window with its overlap, cut until it fits: overlap before, overlap after, the core from its end.
+
+    units: array<struct(line_no, line, …)>; at least one unit of the core must fit, else the excerpt is empty. Only a
+    window that does not fit at once tries its cuts, in order.
+    """
+    left, right = F.greatest(F.lit(0), first - before), F.least(F.size(units), last + after)
+
+    def at(a: Column, b: Column) -> Column:
+        return excerpt(F.transform(F.slice(units, a + 1, b - a), lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"))))
+
+    def cut(i: Column) -> Column:
+        gone_left = F.least(i, first - left)
+        gone_right = i - gone_left
+        return at(left + gone_left, right - gone_right)
+
+    whole = at(left, right)
+    most = (first - left) + (right - last) + (last - first - 1)
+    tried = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), most)), cut)
+    fits = F.filter(tried, lambda t: T.tokens(t) <= budget)
+    return F.when(T.tokens(whole) <= budget, whole).when(most < 1, "").otherwise(F.coalesce(F.get(fits, F.lit(0)), F.lit("")))

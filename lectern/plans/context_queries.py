@@ -121,13 +121,12 @@ def q_reference_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_reference_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Each window with its overlap of two units on both sides, as one excerpt shared by its positions."""
+    """Each window with its overlap of two units on both sides, cut to the budget: one excerpt shared by its positions."""
     units = X.boundaries(_units(spark, d), "file_id")
     docs = units.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("position", (T.tokens(C("line")) + 2).alias("cost"), "boundary", "line_no", "line"))).alias("u"))
     made = X.windows(F.transform("u", lambda x: x["cost"]), F.transform("u", lambda x: x["boundary"]), _CORE_BUDGET)
     w = docs.select("file_id", "u", F.posexplode(made).alias("window_no", "w"))
-    pairs = F.transform(F.slice("u", F.greatest(F.lit(0), C("w.first") - 2) + 1, F.least(F.size("u"), C("w.last") + 2) - F.greatest(F.lit(0), C("w.first") - 2)), lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line")))
-    return w.select("file_id", "window_no", "w.first", "w.last", X.excerpt(pairs).alias("reference"))
+    return w.select("file_id", "window_no", "w.first", "w.last", X.trimmed(C("u"), C("w.first"), C("w.last"), 2, 2, int(_CORE_BUDGET / 0.68)).alias("reference"))
 
 
 @query(f"""SELECT style, extra, '{X.BASE_PROMPT}' || chr(10) || chr(10) || CASE WHEN extra <> '' THEN '【用户补充要求】' || chr(10) || extra || chr(10) || chr(10) ELSE '' END

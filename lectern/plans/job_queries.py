@@ -411,3 +411,40 @@ def q_cumulative_preview(spark: SparkSession, d: str) -> DataFrame:
 def q_zip_guard(spark: SparkSession, d: str) -> DataFrame:
     size = F.length(F.coalesce("preview_content", F.lit("")))
     return table(spark, d, "output_index").select("output_name", (F.coalesce("pdf_page_count", F.lit(0)) > 1000).alias("too_many_pages"), (size >= 1048576).alias("large"), (size > 1000 * F.greatest(F.lit(1), F.length("output_name"))).alias("bomb"))
+
+
+@query(f"""WITH {_INDEX}, {S.FILES} SELECT x.output_name, CASE WHEN x.source_format = 'pdf' THEN x.preview_content ELSE coalesce(x.preview_content, {S.normalized("f.translated_content")}) END AS preview
+    FROM x LEFT JOIN f ON f.name = x.source_name AND f.source_sha256 = x.source_sha256""")
+def q_output_preview(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader sees of an output: the stored preview of a PDF, else the text itself without its BOM."""
+    index = J.upserted(table(spark, d, "output_index")).select("output_name", C("source_name").alias("name"), "source_sha256", C("source_format").alias("form"), "preview_content")
+    both = index.join(files(spark, d, "name", "source_sha256", "translated_content"), ["name", "source_sha256"], "left")
+    text = F.coalesce("preview_content", T.normalized(C("translated_content")))
+    return both.select("output_name", F.when(C("form") == "pdf", C("preview_content")).otherwise(text).alias("preview"))
+
+
+@query(f"""WITH {_INDEX} SELECT output_name, CASE WHEN pdf_page_count IS NULL THEN NULL WHEN lower({S.strip("coalesce(pdf_recognition_mode, '')")}) = 'ocr' THEN '1' ELSE 'all' END AS preselected,
+    CASE WHEN lower({S.strip("coalesce(pdf_recognition_mode, '')")}) IN ('auto', 'text', 'ocr') THEN lower({S.strip("pdf_recognition_mode")}) ELSE 'auto' END AS mode FROM x""")
+def q_import_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Recognition mode, auto if it is none, and the pages an import starts with: one of a scan, else all."""
+    mode = F.lower(T.strip(F.coalesce("pdf_recognition_mode", F.lit(""))))
+    df = J.upserted(table(spark, d, "output_index"))
+    return df.select("output_name", F.when(C("pdf_page_count").isNotNull(), F.when(mode == "ocr", "1").otherwise("all")).alias("preselected"), F.when(mode.isin("auto", "text", "ocr"), mode).otherwise("auto").alias("mode"))
+
+
+@query(f"""SELECT job_id, CASE WHEN lower({S.strip("kind")}) IN ('full', 'neighbor', 'unit') THEN lower({S.strip("kind")}) ELSE 'neighbor' END AS context_mode,
+    CASE WHEN status IN ('strong', 'possible', 'separate') THEN status END AS hint FROM (SELECT DISTINCT job_id, kind, status FROM jobs)""")
+def q_mode_normalize(spark: SparkSession, d: str) -> DataFrame:
+    """Unknown context modes become neighbor, unknown hints null; job kinds and states stand in for them."""
+    kind = F.lower(T.strip(C("kind")))
+    return _jobs(spark, d).select("job_id", "kind", "status").distinct().select("job_id", F.when(kind.isin("full", "neighbor", "unit"), kind).otherwise("neighbor").alias("context_mode"), F.when(C("status").isin("strong", "possible", "separate"), C("status")).alias("hint"))
+
+
+@query(f"""WITH {_EV}, z AS (SELECT job_id, max(seq) AS last FROM e GROUP BY ALL)
+    SELECT job_id, seq, 'data: {{"kind":"' || kind || '","seq":' || seq || '}}' || chr(10) || chr(10) || CASE WHEN seq = last THEN ': end' || chr(10) || chr(10) ELSE '' END AS frame FROM e JOIN z USING (job_id)""")
+def q_event_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Events as server-sent frames; the last one of a job is followed by a closing comment."""
+    e = _events(spark, d).select("job_id", "seq", "kind")
+    ends = table(spark, d, "job_events").groupBy("job_id").agg(F.max("seq").alias("last"))
+    frame = F.concat(F.lit("data: "), F.to_json(F.struct("kind", "seq")), F.lit("\n\n"), F.when(C("seq") == C("last"), ": end\n\n").otherwise(""))
+    return e.join(ends, "job_id").select("job_id", "seq", frame.alias("frame"))

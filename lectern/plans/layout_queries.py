@@ -308,3 +308,21 @@ def q_fragment_map(spark: SparkSession, d: str) -> DataFrame:
     words = units.select("doc_id", "line_no", F.posexplode("words").alias("i", "word")).withColumn("end", F.sum(F.length(T.layout_key(C("word")))).over(Window.partitionBy("doc_id").orderBy("line_no", "i")))
     counted = words.groupBy("doc_id", "line_no").agg(F.count("*").alias("fragments"), F.max("end").alias("word_end"))
     return units.join(counted, ["doc_id", "line_no"]).select("doc_id", "line_no", "fragments", (C("word_end") == C("end")).alias("aligned"))
+
+
+@query(f"WITH {_B} SELECT page, box, x0 >= 0 AND x1 <= {W} + 0.01 AND {H} - bottom >= 0 AND {H} - top <= {H} + 0.01 AND x1 - x0 >= 3 AND bottom - top >= 4 AS valid FROM b")
+def q_box_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a stored box lies on its page and can hold text."""
+    low, high = H - C("bottom"), H - C("top")
+    return _boxes(spark, d).select("page", "box", ((C("x0") >= 0) & (C("x1") <= W + 0.01) & (low >= 0) & (high <= H + 0.01) & (C("x1") - C("x0") >= 3) & (high - low >= 4)).alias("valid"))
+
+
+@query(f"""WITH {_B}, p AS (SELECT page, box, x0 * 2 AS pl, x1 * 2 AS pr, top * 2 AS pt, bottom * 2 AS pb, (box % 5) / 4.0::DOUBLE AS g FROM b)
+    SELECT page, box, round(greatest(0.0, pl / {2 * W} * {W}), 6) AS x0, round(least({W}, pr / {2 * W} * {W}), 6) AS x1, round(greatest(0.0, pt / {2 * H} * {H}), 6) AS top, round(least({H}, pb / {2 * H} * {H}), 6) AS bottom,
+        CASE WHEN 0.2126 * g + 0.7152 * g + 0.0722 * g >= 0.55 THEN 'dark' ELSE 'light' END AS ink, round(greatest(5.5, least(72.0, (pb - pt) / 2 * 0.72)), 6) AS size FROM p""")
+def q_ocr_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised boxes from pixels to points, the ink that reads on their background, the size of their text."""
+    b = _boxes(spark, d).select("page", "box", (C("x0") * 2).alias("pl"), (C("x1") * 2).alias("pr"), (C("top") * 2).alias("pt"), (C("bottom") * 2).alias("pb"), (C("box") % 5 / 4).alias("g"))
+    light = C("g") * 0.2126 + C("g") * 0.7152 + C("g") * 0.0722
+    return b.select("page", "box", F.round(F.greatest(F.lit(0.0), C("pl") / (2 * W) * W), 6).alias("x0"), F.round(F.least(F.lit(W), C("pr") / (2 * W) * W), 6).alias("x1"), F.round(F.greatest(F.lit(0.0), C("pt") / (2 * H) * H), 6).alias("top"),
+                    F.round(F.least(F.lit(H), C("pb") / (2 * H) * H), 6).alias("bottom"), F.when(light >= 0.55, "dark").otherwise("light").alias("ink"), F.round(F.greatest(F.lit(5.5), F.least(F.lit(72.0), (C("pb") - C("pt")) / 2 * 0.72)), 6).alias("size"))

@@ -240,3 +240,26 @@ def test_streams_survive_a_second_start(spark, tmp_path):
         assert sorted((r.line_no, r.text) for r in out.collect()) == [(0, "t398"), (1, "t399")]
     tail = E.run_available(E.bounded_tail(E.event_stream(spark, str(tmp_path / "in"))), ["job_id"], [], str(tmp_path / "tail")).first()
     assert list(tail.seqs) == list(range(144, 400))
+
+
+def test_reference_windows_are_trimmed(spark):
+    def loop(lines_, first, last, budget):
+        left, right = max(0, first - 2), min(len(lines_), last + 2)
+        while X.tokens_of(text := "\n".join(lines_[left:right]).strip()) > budget:
+            if left < first:
+                left += 1
+            elif right > last:
+                right -= 1
+            elif last - first > 1:
+                last -= 1
+                right = last
+            else:
+                return ""
+        return text
+
+    rows = [[f"line {i} " + "x" * (i * 7 % 40) for i in range(9)]]
+    df = spark.createDataFrame([([(i, x) for i, x in enumerate(rows[0])],)], "u array<struct<line_no: int, line: string>>")
+    for first, last in ((0, 3), (2, 5), (4, 9), (8, 9)):
+        for budget in (200, 60, 45, 30, 20, 12, 5):
+            got = df.select(X.trimmed(F.col("u"), F.lit(first), F.lit(last), 2, 2, budget).alias("x")).first().x
+            assert got == loop(rows[0], first, last, budget), (first, last, budget)
