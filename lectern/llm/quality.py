@@ -33,12 +33,13 @@ FLOOR = 0.05
 
 _WORDS = re.compile(r"\w+")
 _UNSPACED = re.compile(r"[ก-๎぀-ヿ㐀-鿿]")
-_LINE_END = re.compile(r"[.!?。！？…؟:：;][\"'”’»›」』）)\]“*_]*\s*$")
+_STOPS, _AFTER_STOP = frozenset(".!?。！？…؟:：;；"), " \t\r\v\f\xa0\u3000\u2009\u202f\"'”’»›」』）)]“*_"
 _MARKED = re.compile(r"\s*(?:[-–—•·・*+▪◦‣○●■□–]|\[[ xX]?\]|[☐☑✓]|\(?\d{1,4}[.)、]|\(?[A-Za-z]\)|[a-z]\.)\s+\S|\s*[・•]\S")
 _LEADER = re.compile(r"(?<!^)(?:(?<!\.)\.{3,}|(?<!…)…{2,}|(?<!·)·{3,}|(?<!_)_{3,}|(?<!\. )(?:\. ){3,})\s*(?:\d+|[ivxlc]+)\s*$")
+_LEADERS = ("...", "……", "···", "___", ". . ")
 _INDEX = re.compile(r"\s*[^,|\t]{1,60}?,(?:\s+\d+(?:[–-]\d+)?,?)+\s*$")
 _GLOSS = re.compile(r"\s*[^\s:：=|]+(?:\s[^\s:：=|]+){0,3}\s*(?::|：|=|\s[—–-])\s+\S")
-_FIELDS = {d: re.compile(p) for d, p in (("|", r"\|"), (";", r";"), ("\t", r"\t"), (",", r",(?!\s)"))}
+_COMMA = re.compile(r",(?!\s)")
 _RULED = re.compile(r"\s*\|?[\s:|+-]*-{2,}[\s:|+-]*$")
 _ALIGNED = re.compile(r"(?<=[^\s.!?。！？…”»」』)]) {2,}(?=\S)|^ {3,}(?=\S)")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{28,}")
@@ -49,16 +50,19 @@ _BROKEN = re.compile(
     rf"�|[\x80-\x9f]|[ÃÂÄÅâåäæçèéêëìíïðñãàáØÙÐÑ][\xa0-\xbf]|(?<=\w)\?(?=\w)|[~^°¬¦_|»\\<>={{}}@#$%&*+](?=[{_L}])"
     rf"|(?<=[{_L}])[~^°¬¦_|«\\<>={{}}@#$%&*+;:)(,!\"]+(?=[{_L}])"
 )
-_SYMBOL = re.compile(r"[^\w\s]")
-
 STATISTICS = ["words", "word_length", "symbols", "line_ends", "common", "entries", "fields", "damage", "repeated", "line_length"]
 
 
+def ended(line: str) -> bool:
+    """Whether a line ends in punctuation, quotes and brackets aside."""
+    return line.rstrip(_AFTER_STOP)[-1:] in _STOPS
+
+
 def entry(line: str, first: bool = False) -> bool:
     """Whether a line is an entry of a list, glossary, index or contents page. A first line without a mark is a title."""
-    if _MARKED.match(line) or _LEADER.search(line) or _INDEX.match(line):
+    if _MARKED.match(line) or _INDEX.match(line) or line.rstrip()[-1:].isalnum() and any(x in line for x in _LEADERS) and _LEADER.search(line):
         return True
-    if first or _LINE_END.search(line):
+    if first or ended(line):
         return False
     if _GLOSS.match(line):
         return True
@@ -73,9 +77,9 @@ def rows_of_fields(lines: list[str]) -> tuple[float, str]:
     best, which = 0.0, ""
     if len(lines) < 2:
         return best, which  # one line alone makes no rows
-    for d, p in _FIELDS.items():
-        counts = Counter(len(p.findall(x)) for x in lines)
-        counts.pop(0, None)
+    for d in "|;\t,":
+        # A comma before a blank is prose; the other signs count wherever they stand.
+        counts = Counter(n for x in lines if d in x and (n := x.count(d) if d != "," else len(_COMMA.findall(x))))
         if counts:
             # Rows have about as many delimiters each; a ragged row still counts.
             top = counts.most_common(1)[0][0]
@@ -85,7 +89,7 @@ def rows_of_fields(lines: list[str]) -> tuple[float, str]:
             if share > best:
                 best, which = share, d
     if best < 0.99:
-        share = sum(bool(_ALIGNED.search(x)) for x in lines) / len(lines)
+        share = sum("  " in x and bool(_ALIGNED.search(x)) for x in lines) / len(lines)
         if share > best:
             best, which = share, " "
     return best, which
@@ -98,7 +102,7 @@ def statistics(text: str | None, common: dict[str, bool]) -> dict[str, float]:
     lines = [x for x in text.split("\n") if x.strip()]
     if not lines:
         return zero
-    n = len(text) - text.count(" ") - text.count("\n") - text.count("\t") or 1
+    n = len("".join(text.split())) or 1
     words = _WORDS.findall(text.lower())
     dense = len(_UNSPACED.findall(text))
     count = len(words)
@@ -110,13 +114,14 @@ def statistics(text: str | None, common: dict[str, bool]) -> dict[str, float]:
         near = sum(w in common for w in words) / count if count else 0.0
         size = sum(map(len, words)) / count if count else 0.0
     fields, mark = rows_of_fields(lines)
-    encoded = sum(len(m) for m in _ENCODED.findall(text) if any(c.isdigit() for c in m) and any(c.isalpha() for c in m) or len(set(m)) > 12)
-    pairs = _HEX.findall(text) if re.search(r"[0-9a-f]{2}", text) else []
+    encoded = 0 if near > 0.2 and max(map(len, text.split())) < 28 else sum(len(m) for m in _ENCODED.findall(text) if any(c.isdigit() for c in m) and any(c.isalpha() for c in m) or len(set(m)) > 12)
+    # Digits in pairs and words without vowels are looked for only where common words are rare.
+    pairs = _HEX.findall(text) if near < 0.1 else []
     hexed = sum(map(len, pairs)) if sum(any(c in "abcdef" for c in p) for p in pairs) > 0.4 * len(pairs) else 0
-    soup = sum(map(len, _SOUP.findall(text)))
+    soup = sum(map(len, _SOUP.findall(text))) if near < 0.1 else 0
     broken = len(_BROKEN.findall(text.replace(mark, " ") if fields > 0.5 and mark.strip() else text))
     broken *= 4 if broken > 3 else 1
-    signs = len(_SYMBOL.findall(text))
+    signs = max(0, n - sum(map(len, words)))
     noise = signs if signs > 0.6 * n and not any(_RULED.match(x) for x in lines) else 0
     damage = min(1.0, (max(encoded, hexed if hexed > 0.5 * n else 0) + soup + broken + noise) / n)
     raw = text.encode("utf-8", "replace")
@@ -130,7 +135,7 @@ def statistics(text: str | None, common: dict[str, bool]) -> dict[str, float]:
         ratio = 0.0
     repeated = 1.0 if not ratio else max(1 - distinct if len(lines) > 4 else 0.0, min(1.0, max(0.0, 0.12 - ratio) / 0.08) if len(raw) > 150 else 0.0)
     return {
-        "words": float(np.log1p(count)), "word_length": min(size, 40.0), "symbols": signs / n, "line_ends": sum(bool(_LINE_END.search(x)) for x in lines) / len(lines), "common": near,
+        "words": float(np.log1p(count)), "word_length": min(size, 40.0), "symbols": signs / n, "line_ends": sum(map(ended, lines)) / len(lines), "common": near,
         "entries": (entry(lines[0], len(lines) > 1) + sum(map(entry, lines[1:]))) / len(lines), "fields": fields, "damage": damage, "repeated": repeated, "line_length": float(np.log1p(sum(lengths) / len(lengths))), "n_words": count, "n_lines": len(lines),
     }
 
