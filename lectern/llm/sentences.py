@@ -27,6 +27,7 @@ CHUNK = 8192
 MARGIN = 512
 #: Lines at least this long can be wrapped lines; beyond the other they are paragraphs.
 WRAP = (24, 100)
+SLACK = 3
 
 # Abbreviations that do not end a sentence, without their stop, in small letters.
 TITLES = set(
@@ -52,6 +53,7 @@ _LEX = re.compile(
 _BACK = re.compile(r"[\w.'-]*$")
 _WORD = re.compile(r"\w+")
 _BULLET = re.compile(r"[-–—•·・*+▪◦‣]\s|\d{1,3}[.)]\s|\d+$|\(?[a-zA-Z]\)\s|>|#|\|")
+_DAY = re.compile(r"\d{1,2}\. (\w+)")
 _COMMA = set(",，、;；、،؛-–—")
 
 # Symbols.
@@ -66,6 +68,11 @@ def _cased(c: str) -> bool:
     return c.lower() != c.upper()
 
 
+def _spaced(c: str) -> bool:
+    """Whether a sign belongs to a script with blanks between words."""
+    return c.isascii() or _cased(c) or "가" <= c <= "힣" or "\u0590" <= c <= "\u08ff"
+
+
 def _thai(c: str) -> bool:
     return "฀" <= c <= "๿"
 
@@ -127,11 +134,22 @@ def _goes_on(text: str, i: int, j: int) -> bool:
     the lines of its block, which is how wrapping leaves them.
     """
     line = text.rfind("\n", 0, i) + 1
-    if _BULLET.match(text, j) or _BULLET.match(text, line):
-        return False
     c = text[j]
+    held = text[max(line, i - MARGIN) : i]
+    german = held.count("„")
+    if sum(map(held.count, "«「『(（[【")) + (german or held.count("“")) > sum(map(held.count, "»」』)）]】")) + (held.count("“") + held.count("”") if german else held.count("”")):
+        return True  # the line leaves a quotation or a bracket open
+    if held[-1] in ":：" and c in _OPENQ + "“„\"":
+        return True
+    if m := _DAY.match(text, j):
+        if m[1].lower() in MONTHS:
+            return True
+    if _BULLET.match(text, j):
+        return False
     if c.islower():
         return True
+    if _BULLET.match(text, line):
+        return False
     if text[i - 1] == "." and not _terminal(text, i - 1, i):
         return True
     first = max(0, text.rfind("\n\n", max(0, i - MARGIN), i) + 2, i - MARGIN if i > MARGIN and "\n\n" not in text[i - MARGIN : i] else 0)
@@ -140,10 +158,10 @@ def _goes_on(text: str, i: int, j: int) -> bool:
     if not WRAP[0] <= width <= WRAP[1]:
         return False
     end = j + 1
-    while end < len(text) and not text[end].isspace() and (text[end].isascii() or _cased(text[end]) or "가" <= text[end] <= "힣"):
+    while end < len(text) and not text[end].isspace() and _spaced(text[end]):
         end += 1
-    spaced = _cased(text[i - 1]) or text[i - 1].isascii() or "가" <= text[i - 1] <= "힣"
-    return i - line + spaced + end - j > width - (not _cased(c) and not c.isascii())
+    # What was put in after wrapping may have made one line a little longer than the rest.
+    return i - line + _spaced(text[i - 1]) + end - j > width - (SLACK if _spaced(c) else 1)
 
 
 def _after(text: str, j: int) -> int:
