@@ -54,8 +54,8 @@ _SCRIPTED = {"Latn": "Latn", "Hani": "Hani", "Jpan": "Kana", "Kore": "Hang", "Cy
 _LOWER = re.compile(r"(?<![A-Za-z.])[a-zß-öø-ÿ][A-Za-zÀ-ɏ]*")
 _WORDS = re.compile(r"[^\W\d_]+")
 _BLANKS = re.compile(r"\s+")
-#: One or two capitalised words: a name, as far as anybody can tell.
-_NAMES = re.compile(r"\W*[A-ZÀ-ÖØ-Þ]\w+\W+(?:[A-ZÀ-ÖØ-Þ]\w+\W*)?|\W*[A-ZÀ-ÖØ-Þ]\w+")
+#: Up to three capitalised words or initials: a name, as far as anybody can tell.
+_NAMES = re.compile(r"\W*(?:[A-ZÀ-ÖØ-Þ][\w.]*(?:\W+|$)){1,3}")
 
 
 def weights(text: str) -> dict[str, int]:
