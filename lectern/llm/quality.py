@@ -39,6 +39,7 @@ _LEADER = re.compile(r"(?<!^)(?:(?<!\.)\.{3,}|(?<!…)…{2,}|(?<!·)·{3,}|(?<!
 _LEADERS = ("...", "……", "···", "___", ". . ")
 _INDEX = re.compile(r"\s*[^,|\t]{1,60}?,(?:\s+\d+(?:[–-]\d+)?,?)+\s*$")
 _GLOSS = re.compile(r"\s*[^\s:：=|]+(?:\s[^\s:：=|]+){0,3}\s*(?::|：|=|\s[—–-])\s+\S")
+_SENTENCE = re.compile(r"[。！？]|[.!?…][\"”»)]*\s")
 _COMMA = re.compile(r",(?!\s)")
 _RULED = re.compile(r"\s*\|?[\s:|+-]*-{2,}[\s:|+-]*$")
 _ALIGNED = re.compile(r"(?<=[^\s.!?。！？…”»」』)]) {2,}(?=\S)|^ {3,}(?=\S)")
@@ -77,19 +78,24 @@ def rows_of_fields(lines: list[str]) -> tuple[float, str]:
     best, which = 0.0, ""
     if len(lines) < 2:
         return best, which  # one line alone makes no rows
+    # A line of several sentences is prose, whatever signs it holds.
+    total = len(lines)
+    lines = [x for x in lines if len(x) < 60 or len(_SENTENCE.findall(x)) < 2]
+    if 2 * len(lines) <= total:
+        return best, which
     for d in "|;\t,":
         # A comma before a blank is prose; the other signs count wherever they stand.
         counts = Counter(n for x in lines if d in x and (n := x.count(d) if d != "," else len(_COMMA.findall(x))))
         if counts:
             # Rows have about as many delimiters each; a ragged row still counts.
             top = counts.most_common(1)[0][0]
-            share = sum(n for k, n in counts.items() if abs(k - top) <= max(1, top // 2)) / len(lines)
+            share = sum(n for k, n in counts.items() if abs(k - top) <= max(1, top // 2)) / total
             if d == "," and top < 2:
                 share *= 0.5
             if share > best:
                 best, which = share, d
     if best < 0.99:
-        share = sum("  " in x and bool(_ALIGNED.search(x)) for x in lines) / len(lines)
+        share = sum("  " in x and bool(_ALIGNED.search(x)) for x in lines) / total
         if share > best:
             best, which = share, " "
     return best, which
@@ -117,8 +123,8 @@ def statistics(text: str | None, common: dict[str, bool]) -> dict[str, float]:
     encoded = 0 if near > 0.2 and max(map(len, text.split())) < 28 else sum(len(m) for m in _ENCODED.findall(text) if any(c.isdigit() for c in m) and any(c.isalpha() for c in m) or len(set(m)) > 12)
     # Digits in pairs and words without vowels are looked for only where common words are rare.
     pairs = _HEX.findall(text) if near < 0.1 else []
-    hexed = sum(map(len, pairs)) if sum(any(c in "abcdef" for c in p) for p in pairs) > 0.4 * len(pairs) else 0
-    soup = sum(map(len, _SOUP.findall(text))) if near < 0.1 else 0
+    hexed = sum(map(len, pairs)) if sum(any(c in "abcdef" for c in p) for p in pairs) > 0.25 * len(pairs) else 0
+    soup = sum(len(w) for w in _SOUP.findall(text) if len(set(w)) > 2) if near < 0.1 else 0
     broken = len(_BROKEN.findall(text.replace(mark, " ") if fields > 0.5 and mark.strip() else text))
     broken *= 4 if broken > 3 else 1
     signs = max(0, n - sum(map(len, words)))
@@ -129,7 +135,7 @@ def statistics(text: str | None, common: dict[str, bool]) -> dict[str, float]:
     lengths = [len(x) for x in lines]
     distinct = len(set(x.strip() for x in lines)) / len(lines)
     dense_text = "".join(text.split())
-    period = dense_text.find(dense_text[:16], 1) if len(dense_text) >= 32 else -1
+    period = dense_text.find(dense_text[: min(16, len(dense_text) // 4)], 1) if len(dense_text) >= 12 else -1
     if period > 0 and len(dense_text) >= 4 * period and dense_text[period:] == dense_text[:-period]:
         distinct = 0.0
         ratio = 0.0
@@ -142,7 +148,7 @@ def statistics(text: str | None, common: dict[str, bool]) -> dict[str, float]:
 
 def checked_shape(s: dict[str, float]) -> str:
     """The definitions, exactly: junk before table before list, else prose."""
-    if s["damage"] > 0.22 or s["repeated"] > 0.75 or not s["n_words"]:
+    if s["damage"] > 0.195 or s["repeated"] > 0.75 or not s["n_words"]:
         return "junk"
     if s["fields"] > 0.5 and s["line_ends"] < 0.5:
         return "table"
