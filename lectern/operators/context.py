@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,28 +48,33 @@ def system_prompt(extra: Column, style: Column) -> Column:
     return F.concat_ws("\n\n", F.lit(BASE_PROMPT), F.when(added != "", F.concat(F.lit("【用户补充要求】\n"), added)), F.concat(F.lit("【风格偏好（"), style, F.lit("）】\n"), F.coalesce(styles[style], F.lit(STYLES["自动判断"]))))
 
 
-def sub_units(text: str, limit: int, tokens) -> list[str]:
-    """A line as requests: itself, or sentences packed up to the limit; a sentence beyond it is cut at a blank."""
+_SENTENCE_ENDS = re.compile(r"(?s).+?(?:[。！？.!?]+[”’\"」』）)\]]*\s*|$)")
+
+
+def sub_units(text: str, limit: int, tokens: Callable[[str], int]) -> list[str]:
+    """A line as requests: the line itself, or stretches of whole sentences within the limit.
+
+    From each place the furthest sentence end within the limit is taken. Where not even one sentence fits, the cut falls
+    at the last blank in the upper half of what should fit, or else right there.
+    """
     if tokens(text) <= limit:
         return [text]
-    import re
-
+    ends = [m.end() for m in _SENTENCE_ENDS.finditer(text)] or [len(text)]
     out: list[str] = []
-    held = ""
-    for sentence in re.findall(r"(?s).+?(?:[。！？.!?]+[”’\"」』）)\]]*\s*|$)", text) or [text]:
-        if held and tokens(held + sentence) > limit:
-            out.append(held.strip())
-            held = sentence
-        else:
-            held += sentence
-        while (n := tokens(held)) > limit:
-            rough = max(1, int(len(held) * limit / n))
-            at = held.rfind(" ", max(1, rough // 2), rough + 1)
-            at = at if at > 0 else rough
-            out.append(held[:at].strip())
-            held = held[at:].lstrip()
-    if held.strip():
-        out.append(held.strip())
+    at = nearest = 0
+    while at < len(text):
+        while ends[nearest] <= at:
+            nearest += 1
+        fitting = takewhile(lambda e: tokens(text[at:e]) <= limit, ends[nearest:])
+        to = max(fitting, default=0)
+        if not to:
+            size = ends[nearest] - at
+            room = max(1, size * limit // tokens(text[at : at + size]))
+            blank = text.rfind(" ", at + max(1, room // 2), at + room + 1)
+            to = blank if blank > at else at + room
+        if piece := text[at:to].strip():
+            out.append(piece)
+        at = to + len(text[to:]) - len(text[to:].lstrip())
     return out or [text]
 
 
