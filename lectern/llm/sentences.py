@@ -25,6 +25,8 @@ from .common import normal, normal_column, spread, table
 
 CHUNK = 8192
 MARGIN = 512
+#: How far a decision looks around; the rest of the margin is for blanks beside it.
+LOOK = 384
 #: Lines at least this long can be wrapped lines; beyond the other they are paragraphs.
 WRAP = (24, 100)
 SLACK = 3
@@ -134,8 +136,10 @@ def _goes_on(text: str, i: int, j: int) -> bool:
     the lines of its block, which is how wrapping leaves them.
     """
     line = text.rfind("\n", 0, i) + 1
+    if line == i:
+        return False  # an empty line, or the edge of a chunk's margin
     c = text[j]
-    held = text[max(line, i - MARGIN) : i]
+    held = text[max(line, i - LOOK) : i]
     german = held.count("„")
     if sum(map(held.count, "«「『(（[【")) + (german or held.count("“")) > sum(map(held.count, "»」』)）]】")) + (held.count("“") + held.count("”") if german else held.count("”")):
         return True  # the line leaves a quotation or a bracket open
@@ -152,9 +156,9 @@ def _goes_on(text: str, i: int, j: int) -> bool:
         return False
     if text[i - 1] == "." and not _terminal(text, i - 1, i):
         return True
-    first = max(0, text.rfind("\n\n", max(0, i - MARGIN), i) + 2, i - MARGIN if i > MARGIN and "\n\n" not in text[i - MARGIN : i] else 0)
-    last = text.find("\n\n", j, j + MARGIN)
-    width = max(map(len, text[first : last if last > 0 else j + MARGIN].split("\n")))
+    first = max(0, text.rfind("\n\n", max(0, i - LOOK), i) + 2, i - LOOK if i > LOOK and "\n\n" not in text[i - LOOK : i] else 0)
+    last = text.find("\n\n", j, j + LOOK)
+    width = max(map(len, text[first : last if last > 0 else j + LOOK].split("\n")))
     if not WRAP[0] <= width <= WRAP[1]:
         return False
     end = j + 1
@@ -185,7 +189,7 @@ def _after(text: str, j: int) -> int:
 
 
 def lex(text: str) -> list[tuple[int, int]]:
-    """(symbol, start) of everything that matters; no decision looks further than MARGIN."""
+    """(symbol, start) of everything that matters; no decision looks further than LOOK."""
     out: list[tuple[int, int]] = []
     add = out.append
     for m in _LEX.finditer(text):

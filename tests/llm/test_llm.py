@@ -237,3 +237,18 @@ def test_mixture_passes_raise_the_likelihood(spark):
     fits = [quality.fit(stats, common, passes=n) for n in (1, 4, 8)]
     likelihood = [np.logaddexp.reduce(quality._log_joint((x - m.centre) / m.scale, *m.model), axis=1).mean() for m in fits]
     assert likelihood[0] < likelihood[1] <= likelihood[2] + 1e-6
+
+
+def test_chunks_compose_on_random_texts():
+    rng = random.Random(7)
+    bits = ["\n", "\n\n", " ", " He said: “Run!” ", "“", "”", "(", ")", "«", "»", "„", "5. März", "Dr. ", "e.g. ", "word ", "。", "！", "「走れ！」と", "他说：“好。”", "…", "a.b", "คน ", "　", ":", "- x", "한국 어.", "x" * 40, "foo bar baz " * 5, "قال: «نعم.»"]
+    for _ in range(250):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(400)))
+        assert "".join("".join(text[a:b].split()) for a, b in sentences.units(text)) == "".join(text.split())
+        state, starts, chunk = 0, [], 700
+        for k in range(-(-len(text) // chunk)):
+            base = max(0, k * chunk - sentences.MARGIN)
+            own = [(s, base + at) for s, at in sentences.lex(text[base : (k + 1) * chunk + sentences.MARGIN]) if k * chunk <= base + at < (k + 1) * chunk]
+            got, state = sentences.run(own, state)
+            starts += got
+        assert starts == sentences.run(sentences.lex(text))[0]
