@@ -209,9 +209,9 @@ def q_translate_file(spark: SparkSession, d: str) -> DataFrame:
 def q_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Files through the pluggable pipeline with the stub as model, replaying checkpoints.
 
-    Units above the sub-unit limit are left out of the comparison, since every sub-unit gets the stub's mark.
+    Every unit is there. The SQL cannot say the cut of a long line and has only the units up to the sub-unit limit; the
+    longer ones, marked by the stub once a piece, are held against brute force on a fixture.
     """
     units = U.document_units(file_lines(spark, d))
     out = P.translate_units(units, P.stub_model, resume=table(spark, d, "resume_lines"))
-    large = units.where(T.tokens(C("unit.text")) > T.unit_limit(65536)).select("file_id", "line_no")
-    return out.join(large, ["file_id", "line_no"], "left_anti").select("file_id", "line_no", "out", "resumed")
+    return out.select("file_id", "line_no", "out", "resumed")
