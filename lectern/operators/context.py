@@ -97,6 +97,33 @@ def semantic_units(df: DataFrame, text: str, size: int) -> DataFrame:
     return short.unionByName(df.where(over).withColumn("pieces", cut(C(text))))
 
 
+def fixed_tokens() -> int:
+    """The system prompt without additions, in the default style."""
+    return tokens_of(BASE_PROMPT + "\n\n【风格偏好（自动判断）】\n" + STYLES["自动判断"])
+
+
+def reference_budget(units: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, budget): tokens that the fixed reference of a document may take, by the largest of its requests.
+
+    Requests are the pieces of its lines, so a long line counts by its pieces; only lines above the limit leave the JVM.
+    """
+    size = T.context_size(size)
+    limit = T.unit_limit(size)
+
+    @F.pandas_udf("int")
+    def largest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda a: max((tokens_of(p) for x in a for p in sub_units(x, limit, tokens_of) if p.strip()), default=0)).astype("int32")
+
+    n = T.tokens(C("text"))
+    docs = units.groupBy(key).agg(F.max(F.when((n <= limit) & (T.strip(C("text")) != ""), n)).alias("short"), F.collect_list(F.when(n > limit, C("text"))).alias("long"))
+    docs = docs.select(key, F.greatest(F.coalesce("short", F.lit(0)), largest("long")).alias("n"))
+    # The budget of the largest reply grows with the request; without any request the least of both counts.
+    reply = F.when(C("n") > 0, F.greatest(F.lit(256), (C("n") * F.lit(1.5)).cast("int") + 256)).otherwise(256)
+    free = size - fixed_tokens() - 512 - T.context_caps(size)[0] - max(256, min(4096, int(size * 0.06)))
+    return docs.select(key, F.greatest(F.lit(0), F.lit(free) - F.greatest(C("n"), F.lit(1)) - reply).alias("budget"))
+
+
 def block(source: Column, translated: Column) -> Column:
     return F.concat(F.lit("[原文]\n"), source, F.lit("\n[译文]\n"), translated)
 

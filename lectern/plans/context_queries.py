@@ -86,10 +86,8 @@ _BUDGET = f"greatest(0, {SIZE - _fixed() - _CAP_BEFORE - _SAFETY} - max({S.token
 
 @query(f"WITH {_T} SELECT file_id, {_BUDGET} AS budget FROM t WHERE {S.tokens('text')} <= {T.unit_limit(SIZE)} GROUP BY ALL")
 def q_reference_budget(spark: SparkSession, d: str) -> DataFrame:
-    n = T.tokens(C("text"))
-    df = _units(spark, d).where(n <= T.unit_limit(SIZE)).groupBy("file_id")
-    largest = df.agg(F.max(n).alias("a"), F.max(F.greatest(F.lit(256), (n * F.lit(1.5)).cast("int") + 256)).alias("b"))
-    return largest.select("file_id", F.greatest(F.lit(0), F.lit(SIZE - _fixed() - _CAP_BEFORE - _SAFETY) - C("a") - C("b")).alias("budget"))
+    """Every file with words, its long lines by their pieces. The SQL cannot say the cut and leaves lines above the limit out."""
+    return X.reference_budget(_units(spark, d), "file_id", SIZE)
 
 
 _CORE_BUDGET = 200

@@ -29,3 +29,15 @@ def test_pipeline_returns_lines_above_the_limit(spark, tmp_path):
     rows = QUERIES["q_pipeline"](spark, d).orderBy("file_id", "line_no").collect()
     assert [(r.file_id, r.line_no, r.resumed) for r in rows] == [(1, 0, False), (1, 1, False), (1, 2, False), (2, 0, True)]
     assert [r.out for r in rows] == ["# 译：Short.", "".join("译：" + p for p in want), "- 译：End.", "done"]
+
+
+def test_reference_budget_counts_the_pieces_of_long_lines(spark, tmp_path):
+    long = "".join(f"Sentence {i} has some words. " for i in range(90)).strip()
+    want = pieces(long, 256)
+    largest = max(map(X.tokens_of, want))
+    assert len(want) > 1 and X.tokens_of("Short.") < largest <= 256
+    d = tables(spark, tmp_path, [(1, "a.txt", f"Short.\n{long}", "中文"), (2, "b.txt", long, "中文"), (3, "c.txt", "Short.", "中文"), (4, "d.txt", " \n", "中文")])
+    got = {r.file_id: r.budget for r in QUERIES["q_reference_budget"](spark, d).collect()}
+    fixed = X.tokens_of(X.BASE_PROMPT + "\n\n【风格偏好（自动判断）】\n" + X.STYLES["自动判断"]) + 512
+    budget = lambda n: max(0, 2048 - fixed - 204 - n - max(256, int(n * 1.5) + 256) - 256)
+    assert got == {1: budget(largest), 2: budget(largest), 3: budget(X.tokens_of("Short."))}
