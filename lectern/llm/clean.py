@@ -249,7 +249,7 @@ class Reader:
                     buffer += p
                 continue
             close, name = bool(p[1]), p[2].lower()
-            single = bool(p[4]) or name in ("br", "hr", "img", "input", "meta", "link", "wbr", "col")
+            single = p[0].endswith("/>") or name in ("br", "hr", "img", "input", "meta", "link", "wbr", "col")
             if name in WIKI_TAGS and (name != "section" or re.match(r"\s+(?:begin|end)\s*=", p[3])):
                 t.add("wiki")
                 if name in ("ref", "gallery", "references"):
