@@ -6,7 +6,7 @@ U+001C to U+001F; `.` excludes line feeds only (flag d), and positions count cod
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
@@ -191,15 +191,20 @@ def layout_may_continue(previous: Column, current: Column) -> Column:
     return (p != "") & (c != "") & ~sentence_end(p) & go
 
 
-def detected_language(c: Column) -> Column:
-    """The language that the scripts of a text suggest; Latin letters alone say English, nothing says Chinese."""
+def detected_language(c: Column, over: WindowSpec | None = None) -> Column:
+    """The language that the scripts of a text suggest; Latin letters alone say English, nothing says Chinese.
+
+    over: of all texts of a window together.
+    """
+    some = (lambda x: x) if over is None else lambda x: F.max(x).over(over)
+    all_ = (lambda x: x) if over is None else lambda x: F.sum(x).over(over)
     out = F.when(F.lit(False), "")
     for low, high, name in SCRIPT_LANGUAGES:
-        out = out.when(c.rlike(rf"[\x{{{low}}}-\x{{{high}}}]"), name)
-    simp = F.length(F.regexp_replace(c, f"[^{SIMPLIFIED}]", ""))
-    trad = F.length(F.regexp_replace(c, f"[^{TRADITIONAL}]", ""))
-    out = out.when(c.rlike(r"[\x{4e00}-\x{9fff}]"), F.when((trad > 0) & (trad > simp), "繁体中文").otherwise("中文"))
-    return out.when(c.rlike("[a-zA-Z]"), "英文").otherwise("中文")
+        out = out.when(some(c.rlike(rf"[\x{{{low}}}-\x{{{high}}}]")), name)
+    simp = all_(F.length(F.regexp_replace(c, f"[^{SIMPLIFIED}]", "")))
+    trad = all_(F.length(F.regexp_replace(c, f"[^{TRADITIONAL}]", "")))
+    out = out.when(some(c.rlike(r"[\x{4e00}-\x{9fff}]")), F.when((trad > 0) & (trad > simp), "繁体中文").otherwise("中文"))
+    return out.when(some(c.rlike("[a-zA-Z]")), "英文").otherwise("中文")
 
 
 def target_script(c: Column, target: Column) -> Column:

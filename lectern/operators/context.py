@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .units import stub
+from .units import SUBTITLES, stub
 
 C = F.col
 
@@ -159,6 +159,43 @@ def prompt(text: Column, before: Column, after: Column, mode: Column, source: Co
     return F.concat(F.when(around == "", F.lit(ALONE)).otherwise(F.concat(F.lit(BESIDE), around)), note, task)
 
 
+def request(text: str, before: str, after: str, mode: str, source: str, target: str, reference: str = "", kind: str = "") -> str:
+    """prompt() for one unit whose history is known only as the loop goes, with the fixed reference if there is one."""
+    fixed = f"【固定{kind}（只供理解，禁止翻译或输出）】\n{reference}\n【固定{kind}结束】" if reference else ""
+    around = "\n\n".join(x for x in (fixed, before and BEFORE + before, after and AFTER + after) if x)
+    note = "\n\n" + POSSIBLE if mode == "possible" else ""
+    return (BESIDE + around if around else ALONE) + note + f"\n\n【当前待译文本（{source} → {target}）】\n{text}"
+
+
+def may_continue(previous: str, current: str) -> str:
+    """T.may_continue for one pair of texts."""
+    p, c = previous.strip(), current.lstrip()
+    if not p or not c or re.search(r"[.!?。！？…]\Z", re.sub(r"[\s\"'”’」』）)\]]+\Z", "", p)):
+        return ""
+    return "possible" if re.match(r"[a-zà-öø-ÿ]", re.sub(r"^[\"'“”‘’([{]+", "", c)) or p.endswith(("-", "–", "—", ",", ";")) else ""
+
+
+def reference_plan(units: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """(file_id, line_no, reference, kind) of the first unit of every window; it holds up to the next one.
+
+    A document whose reference fits its budget has one window with the whole text, of subtitles the units only.
+    """
+    translated = boundaries(units.where("unit.translate").select("file_id", "ext", "line_no", "line", "unit.text"), "file_id")
+    item = F.struct("line_no", "line", (T.tokens(C("line")) + 2).alias("cost"), "boundary")
+    docs = translated.groupBy("file_id").agg(F.max("ext").alias("ext"), F.sort_array(F.collect_list(item)).alias("u")).join(reference_budget(translated, "file_id", size), "file_id").where("budget > 0")
+    whole = units.where(~C("ext").isin(SUBTITLES)).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("a"))
+    whole = whole.select("file_id", T.strip(F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("whole"))
+    pairs = F.transform("u", lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line")))
+    docs = docs.join(whole, "file_id", "left").withColumn("whole", F.when(C("ext").isin(SUBTITLES), excerpt(pairs)).otherwise(C("whole")))
+    fits = (C("whole") != "") & (T.tokens(C("whole")) <= C("budget"))
+    one = docs.where(fits).select("file_id", F.get("u", F.lit(0))["line_no"].alias("line_no"), C("whole").alias("reference"), F.lit("全文原文参考").alias("kind"))
+    core = F.greatest(F.lit(128), (C("budget") * F.lit(0.68)).cast("int"))
+    made = windows(F.transform("u", lambda x: x["cost"]), F.transform("u", lambda x: x["boundary"]), core)
+    many = docs.where(~fits).select("file_id", "u", "budget", F.explode(made).alias("w"))
+    cut = trimmed(C("u"), C("w.first"), C("w.last"), before, after, C("budget"))
+    return one.unionByName(many.select("file_id", F.get("u", C("w.first"))["line_no"].alias("line_no"), cut.alias("reference"), F.lit("当前语义窗口参考").alias("kind")))
+
+
 def boundaries(units: DataFrame, key: str) -> DataFrame:
     """Adds boundary: a window of a document may start at its first unit, after a gap, or at a heading."""
     gap = C("line_no") - F.lag("line_no").over(Window.partitionBy(key).orderBy("line_no"))
@@ -176,7 +213,7 @@ def excerpt(pairs: Column) -> Column:
     return T.strip(F.aggregate(pairs, start, step)["text"])
 
 
-def windows(costs: Column, edges: Column, budget: int) -> Column:
+def windows(costs: Column, edges: Column, budget: int | Column) -> Column:
     """Core windows of a document as array<struct(first, last)>: one fold step per window.
 
     costs: tokens + 2 by position; edges: whether a window may start there. A window takes units while they fit, at
@@ -200,7 +237,7 @@ def windows(costs: Column, edges: Column, budget: int) -> Column:
     return F.aggregate(costs, start, step)["out"]
 
 
-def trimmed(units: Column, first: Column, last: Column, before: int, after: int, budget: int) -> Column:
+def trimmed(units: Column, first: Column, last: Column, before: int, after: int, budget: int | Column) -> Column:
     """The excerpt of a window with its overlap, cut until it fits: overlap before, overlap after, the core from its end.
 
     units: array<struct(line_no, line, …)>; at least one unit of the core must fit, else the excerpt is empty. Only a

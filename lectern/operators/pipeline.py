@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -91,27 +93,51 @@ def recent(history: list[tuple[str, str]], s: Settings) -> str:
     return "\n\n".join(reversed(kept))
 
 
+def coming(pieces: Iterable[str], s: Settings) -> str:
+    """The next pieces of the source, whole ones, while the token cap allows."""
+    cap, used, kept = T.context_caps(s.context_size)[1], 0, []
+    if s.mode == "unit":
+        return ""
+    for piece in islice(filter(None, map(str.strip, pieces)), max(0, s.future_units)):
+        used += X.tokens_of(piece)
+        if used > cap:
+            break
+        kept.append(piece)
+    return "\n\n".join(kept)
+
+
 _OUT = pa.schema([("file_id", pa.int64()), ("line_no", pa.int32()), ("out", pa.string()), ("resumed", pa.bool_()), ("error", pa.string())])
 
 
 def translate_units(units: DataFrame, translate: Callable[[str, int], tuple[str, str | None]], settings: Settings | None = None, resume: DataFrame | None = None) -> DataFrame:
     """(file_id, line_no, out, resumed, error) of every translatable unit. An error ends its document, not the task."""
     s = settings or Settings()
+    whole = Window.partitionBy("file_id")
     rows = translatable(units).select("file_id", "line_no", "unit.prefix", "unit.text", "unit.suffix")
     kept = resume.where("text is not null").groupBy("file_id", "line_no").agg(F.max("text").alias("kept")) if resume is not None else None
     rows = rows.join(kept, ["file_id", "line_no"], "left") if kept is not None else rows.withColumn("kept", F.lit(None).cast("string"))
-    after = F.collect_list("text").over(_after(s.future_units))
-    rows = rows.withColumn("future", after)
+    worded = T.strip(F.col("text")) != ""
+    rows = rows.withColumn("source", T.detected_language(F.col("text"), whole)).withColumn("n", F.count_if(worded).over(whole.orderBy("line_no")))
+    # The next texts that have words; blank ones share the number of the one before them.
+    future = F.collect_list(F.when(worded, F.col("text"))).over(whole.orderBy("n").rangeBetween(1, s.future_units)) if s.future_units > 0 and s.mode != "unit" else F.array().cast("array<string>")
+    rows = rows.withColumn("future", future)
+    if s.mode == "full":
+        rows = rows.join(X.reference_plan(units, s.context_size, s.context_units, s.future_units), ["file_id", "line_no"], "left")
+    else:
+        rows = rows.withColumn("reference", F.lit(None).cast("string")).withColumn("kind", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document, history, failed = None, [], None
-        limit = T.unit_limit(s.context_size)
+        document, history, failed, fixed = None, [], None, ("", "")
+        split = lru_cache(8)(lambda text: X.sub_units(text, T.unit_limit(s.context_size), X.tokens_of))
+        size = T.context_size(s.context_size)
         joiner = "" if s.target in ("中文", "繁体中文", "粤语", "日文", "韩文") else " "
         for batch in batches:
             out = []
-            for file_id, line_no, prefix, text, suffix, old, future in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for file_id, line_no, prefix, text, suffix, old, source, future, reference, kind in zip(*(c.to_pylist() for c in batch.columns)):
                 if file_id != document:
-                    document, history, failed = file_id, [], None
+                    document, history, failed, fixed = file_id, [], None, ("", "")
+                if reference is not None:
+                    fixed = (reference, kind)
                 if failed:
                     out.append((file_id, line_no, None, False, failed))
                     continue
@@ -124,13 +150,21 @@ def translate_units(units: DataFrame, translate: Callable[[str, int], tuple[str,
                 parts = []
                 local = list(history)
                 try:
-                    for unit in X.sub_units(text, limit, X.tokens_of):
-                        around = "\n\n".join(x for x in (recent(local, s), *(future if s.mode != "unit" else ())) if x)
-                        prompt = (X.BESIDE + around if around else X.ALONE) + f"\n\n【当前待译文本（→ {s.target}）】\n{unit}"
-                        room = max(2048, s.context_size) - X.tokens_of(prompt) - 96
+                    own = split(text)
+                    for k, unit in enumerate(own):
+                        mode = X.may_continue(local[-1][0], unit) if local else ""
+                        before = recent(local, s)
+                        if mode and not before:
+                            before = "[原文]\n{}\n[译文]\n{}".format(*local[-1])
+                        after = "" if fixed[0] else coming(chain(islice(own, k + 1, None), (p for x in future for p in split(x))), s)
+                        prompt = X.request(unit, before, after, mode, source, s.target, *fixed)
+                        used = sum(map(X.tokens_of, (unit, before, after, "", fixed[0]))) + X.fixed_tokens() + 384
+                        room = size - used - 96
                         if room < 256:
                             raise LengthError("the request is too long")
-                        done = " ".join(complete(translate, prompt, budget(unit), room, s.retries).split("\n")).strip()
+                        first = min(budget(unit), room)
+                        most = max(first, size - X.fixed_tokens() - X.tokens_of(prompt) - 128 - 96)
+                        done = " ".join(complete(translate, prompt, first, most, s.retries).split("\n")).strip()
                         if not done:
                             raise LengthError("an empty translation")
                         parts.append(done)
@@ -145,13 +179,7 @@ def translate_units(units: DataFrame, translate: Callable[[str, int], tuple[str,
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_OUT)], schema=_OUT)
 
     ordered = rows.repartition("file_id").sortWithinPartitions("file_id", "line_no")
-    return ordered.select("file_id", "line_no", "prefix", "text", "suffix", "kept", "future").mapInArrow(run, "file_id long, line_no int, out string, resumed boolean, error string")
-
-
-def _after(n: int):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("file_id").orderBy("line_no").rowsBetween(1, max(1, n))
+    return ordered.select("file_id", "line_no", "prefix", "text", "suffix", "kept", "source", "future", "reference", "kind").mapInArrow(run, "file_id long, line_no int, out string, resumed boolean, error string")
 
 
 def stub_model(prompt: str, max_tokens: int) -> tuple[str, str | None]:
