@@ -7,6 +7,7 @@ and offsets always refer to that form. A null text stays null.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,26 +42,55 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
+def bounded(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a small table on the driver. A table above the bound is an error, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return rows
+
+
+#: Bytes of values that become Python objects at once; a larger row stands alone.
+SLICE_BYTES = 16_000_000
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes by its average row, halved again where rows are uneven."""
+    if batch.num_rows <= 1 or batch.nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    for part in (batch.slice(0, half), batch.slice(half)):
+        yield from slices(part, most)
+
+
 def map_rows(df: DataFrame, columns: list[str], each: Callable[..., list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """Calls each(*values) for every row and makes rows of the tuples that it returns. Batches keep memory bounded."""
+    """Calls each(*values) for every row and makes rows of the tuples that it returns, some 16 MB of values at a time."""
     width = len(schema)
 
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], schema.field(i).type) for i in range(width)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                out += each(*row)
-                if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], schema.field(i).type) for i in range(width)], schema=schema)
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], schema.field(i).type) for i in range(width)], schema=schema)
+        for whole in batches:
+            for batch in slices(whole):
+                out: list[tuple] = []
+                for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                    out += each(*row)
+                    if len(out) >= 20_000:
+                        yield made(out)
+                        out = []
+                yield made(out)
 
     return df.select(*columns).mapInArrow(run, ddl)
 
 
-def checkpointed(df: DataFrame, fallback: str = "/tmp/lectern-checkpoints") -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; the fallback is only for tests on one machine."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder of spark.checkpoint.dir. Only a local master may leave it unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or fallback)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
     return df.checkpoint()

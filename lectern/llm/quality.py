@@ -1,11 +1,15 @@
 """Problem 8: per-document text quality statistics, and what they say about a document's shape.
 
-Method: statistics per document, standardised with the means and deviations of the whole corpus, and a mixture of
-Gaussians (diagonal) fitted to them by expectation-maximisation. Every pass of the fit reads all documents: each task
-sums the responsibilities of its rows, Spark adds them up, and only COMPONENTS x (2 x statistics + 1) numbers reach the
-driver. Components are mapped to prose, list, table or junk by inspected examples (EXAMPLES below): each example votes
-with its posterior. Rows in which a component that is not prose takes part are then checked exactly against the
-definitions (most lines are entries; most lines are rows of fields; the text is damaged, encoded or repeated).
+Method: statistics per document, on an open scale (shares as log odds, rare things as logarithms), standardised with the
+means and deviations of the whole corpus, and a mixture of Gaussians (diagonal) fitted to them by
+expectation-maximisation. Every pass of the fit reads all documents: each task sums the responsibilities of its rows,
+Spark adds them up, and only COMPONENTS x (2 x statistics + 1) numbers reach the driver. The fit ends when a pass gains
+less than GAIN of mean log likelihood. Components are mapped to prose, list, table or junk by inspected examples
+(EXAMPLES below): each example votes with its posterior. A document's shape is that of the largest summed posterior of
+the components mapped to it; nothing else decides, and equal posteriors go to the first of SHAPES.
+
+The examples also stand in the fit as a weak prior (PRIOR rows each), so that a small corpus without junk, say, still has
+a component for it.
 
 Defined results: null, empty and blank texts get statistics of zero and no shape; repeated texts get equal rows; an
 empty table gives an empty result.
@@ -22,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, normal, spread, table
+from .common import bounded, checkpointed, map_rows, normal, spread, table
 
 SHAPES = ("prose", "list", "table", "junk")
 COMPONENTS = 12
-PASSES = 12
-#: Posterior of all components that are not prose from which a document is checked.
-CANDIDATE = 0.02
+#: A pass that raises the mean log likelihood by less ends the fit; a fit that needs more passes than PASSES is an error.
+GAIN = 1e-3
+PASSES = 200
+#: Rows that each component's example counts for, and the least variance of a component.
+PRIOR = 0.5
 FLOOR = 0.05
 
 _WORDS = re.compile(r"\w+")
@@ -120,43 +126,34 @@ def statistics(text: str | None, common: dict[str, bool]) -> dict[str, float]:
         near = sum(w in common for w in words) / count if count else 0.0
         size = sum(map(len, words)) / count if count else 0.0
     fields, mark = rows_of_fields(lines)
-    encoded = 0 if near > 0.2 and max(map(len, text.split())) < 28 else sum(len(m) for m in _ENCODED.findall(text) if any(c.isdigit() for c in m) and any(c.isalpha() for c in m) or len(set(m)) > 12)
-    # Digits in pairs and words without vowels are looked for only where common words are rare.
-    pairs = _HEX.findall(text) if near < 0.1 else []
-    hexed = sum(map(len, pairs)) if sum(any(c in "abcdef" for c in p) for p in pairs) > 0.25 * len(pairs) else 0
-    soup = sum(len(w) for w in _SOUP.findall(text) if len(set(w)) > 2) if near < 0.1 else 0
+    # A text without a long enough word cannot match.
+    encoded = sum(len(m) for m in _ENCODED.findall(text) if any(c.isdigit() for c in m) and any(c.isalpha() for c in m) or len(set(m)) > 12) if max(map(len, text.split())) >= 28 else 0
+    # Digits in pairs and words without vowels speak the less, the more of the words are common.
+    rare = max(0.0, 1 - 5 * near)
+    pairs = _HEX.findall(text) if rare else []
+    hexed = rare * sum(map(len, pairs)) if sum(any(c in "abcdef" for c in p) for p in pairs) > 0.25 * len(pairs) else 0
+    soup = rare * sum(len(w) for w in _SOUP.findall(text) if len(set(w)) > 2) if rare else 0
     broken = len(_BROKEN.findall(text.replace(mark, " ") if fields > 0.5 and mark.strip() else text))
-    broken *= 4 if broken > 3 else 1
+    # One odd sign is a slip; many stand for as much damaged text around them.
+    broken *= 4 * broken**2 / (broken**2 + 16)
     signs = max(0, n - sum(map(len, words)))
     noise = signs if signs > 0.6 * n and not any(_RULED.match(x) for x in lines) else 0
     damage = min(1.0, (max(encoded, hexed if hexed > 0.5 * n else 0) + soup + broken + noise) / n)
     raw = text.encode("utf-8", "replace")
     ratio = len(zlib.compress(raw, 1)) / len(raw)
     lengths = [len(x) for x in lines]
-    distinct = len(set(x.strip() for x in lines)) / len(lines)
+    again = (len(lines) - len(set(x.strip() for x in lines))) / (len(lines) + 1)
     dense_text = "".join(text.split())
     period = dense_text.find(dense_text[: min(16, len(dense_text) // 4)], 1) if len(dense_text) >= 12 else -1
     if period > 0 and len(dense_text) >= 4 * period and dense_text[period:] == dense_text[:-period]:
-        distinct = 0.0
-        ratio = 0.0
-    repeated = 1.0 if not ratio else max(1 - distinct if len(lines) > 4 else 0.0, min(1.0, max(0.0, 0.12 - ratio) / 0.08) if len(raw) > 150 else 0.0)
+        again = 1.0
+    repeated = max(again, min(1.0, max(0.0, 0.12 - ratio) / 0.08))
     return {
         "words": float(np.log1p(count)), "word_length": min(size, 40.0), "symbols": signs / n, "line_ends": sum(map(ended, lines)) / len(lines), "common": near,
         "entries": (entry(lines[0], len(lines) > 1) + sum(map(entry, lines[1:]))) / len(lines), "fields": fields, "damage": damage, "repeated": repeated, "line_length": float(np.log1p(sum(lengths) / len(lengths))), "n_words": count, "n_lines": len(lines),
     }
 
 
-def checked_shape(s: dict[str, float]) -> str:
-    """The definitions, exactly: junk before table before list, else prose."""
-    if s["damage"] > 0.195 or s["repeated"] > 0.75 or not s["n_words"]:
-        return "junk"
-    if s["fields"] > 0.5 and s["line_ends"] < 0.5:
-        return "table"
-    if s["entries"] > 0.5:
-        return "list"
-    return "prose"
-
-
 # Inspected examples, written for this purpose: one or more of each kind that the shapes comprise.
 EXAMPLES: list[tuple[str, str]] = [
     ("prose", "The keeper opened the door before noon. Nobody was there, so she went back to the house and waited for the others."),
@@ -194,8 +191,8 @@ _STATS = pa.schema([("doc_id", pa.int64()), *((x, pa.float64()) for x in STATIST
 
 def common_words(spark: SparkSession, sf_dir: str) -> dict[str, bool]:
     spaced = table(spark, sf_dir, "languages").select("lang", "spaced")
-    rows = table(spark, sf_dir, "common_words").join(F.broadcast(spaced), "lang", "left").select("word", "spaced").limit(10_000).collect()
-    return {r.word: r.spaced is False for r in rows if r.word}
+    rows = table(spark, sf_dir, "common_words").join(F.broadcast(spaced), "lang", "left").select("word", "spaced")
+    return {r.word: r.spaced is False for r in bounded(rows, 10_000, "common_words") if r.word}
 
 
 def document_statistics(df: DataFrame, common: dict[str, bool], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,107 +205,136 @@ def document_statistics(df: DataFrame, common: dict[str, bool], key: str = "doc_
     return map_rows(df, [key, text], each, _STATS, ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in _STATS))
 
 
+#: Shares in [0, 1] are taken as log odds, the others here as logarithms; the constants keep both ends finite.
+_ODDS, _LOGS = ("entries", "fields", "line_ends", "repeated"), ("damage", "symbols", "common")
+
+
+def opened(x: np.ndarray) -> np.ndarray:
+    """Rows of statistics on the open scale that the mixture is fitted on."""
+    y = np.array(x, float)
+    for c in _ODDS:
+        v = np.clip(y[:, STATISTICS.index(c)], 0, 1)
+        y[:, STATISTICS.index(c)] = np.log((v + 0.08) / (1.08 - v))
+    for c in _LOGS:
+        y[:, STATISTICS.index(c)] = np.log(y[:, STATISTICS.index(c)] + 0.03)
+    return y
+
+
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return opened(np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in STATISTICS], 1))
+
+
 def _log_joint(x: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
     """log weight + log density of every row under every component."""
-    out = np.empty((len(x), len(weights)))
-    for k in range(len(weights)):
-        out[:, k] = np.log(weights[k]) - 0.5 * (((x - means[k]) ** 2 / variances[k]).sum(1) + np.log(variances[k]).sum())
-    return out
+    return np.stack([np.log(w) - 0.5 * (((x - m) ** 2 / v).sum(1) + np.log(v).sum()) for w, m, v in zip(weights, means, variances)], 1)
 
 
-def _posterior(x: np.ndarray, model: tuple) -> np.ndarray:
+def _posterior(x: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(posteriors, log likelihood) of every row."""
     joint = _log_joint(x, *model)
-    joint -= joint.max(1, keepdims=True)
-    p = np.exp(joint)
-    return p / p.sum(1, keepdims=True)
+    top = joint.max(1, keepdims=True)
+    p = np.exp(joint - top)
+    total = p.sum(1, keepdims=True)
+    return p / total, (top + np.log(total))[:, 0]
 
 
-def _pass(stats: DataFrame, centre: np.ndarray, scale: np.ndarray, model: tuple) -> list:
-    """One expectation step over all rows: (component, weight, sums, sums of squares)."""
+def _summed(df: DataFrame, each, names: list[str]) -> list:
+    """each(rows) -> {name: array}, summed over all batches by place: one row per place reaches the driver."""
 
-    def each(batches):
+    def run(batches):
+        total = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = (np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)], 1) - centre) / scale
-            p = _posterior(x, model)
-            s, q = p.T @ x, p.T @ (x * x)
-            k = len(p[0])
-            flat = [pa.array(np.repeat(np.arange(k), x.shape[1])), pa.array(np.tile(np.arange(x.shape[1]), k)), pa.array(np.repeat(p.sum(0), x.shape[1])), pa.array(s.ravel()), pa.array(q.ravel())]
-            yield pa.RecordBatch.from_arrays(flat, names=["k", "d", "w", "s", "q"])
+            if batch.num_rows:
+                found = each(_rows(batch))
+                total = found if total is None else {k: total[k] + v for k, v in found.items()}
+        if total is not None:
+            flat = {k: np.ravel(v) for k, v in total.items()}
+            n = max(map(len, flat.values()))
+            cols = [pa.array(np.arange(n))] + [pa.array(np.pad(flat[k], (0, n - len(flat[k])))) for k in names]
+            yield pa.RecordBatch.from_arrays(cols, names=["i", *names])
 
-    return stats.select(*STATISTICS).mapInArrow(each, "k long, d long, w double, s double, q double").groupBy("k", "d").agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+    ddl = "i long, " + ", ".join(f"{k} double" for k in names)
+    return df.select(*STATISTICS).mapInArrow(run, ddl).groupBy("i").agg(*(F.sum(k).alias(k) for k in names)).orderBy("i").collect()
 
 
 class Mixture:
-    """A fitted mixture with the shape of each component."""
+    """A fitted mixture with the shape of each component. passes and likelihood tell how the fit ended."""
 
-    def __init__(self, centre, scale, model, shapes):
+    def __init__(self, centre, scale, model, shapes, passes=0, likelihood=0.0):
         self.centre, self.scale, self.model, self.shapes = centre, scale, model, shapes
+        self.passes, self.likelihood = passes, likelihood
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
-        """Posterior of every shape, in the order of SHAPES."""
-        p = _posterior((x - self.centre) / self.scale, self.model)
-        return p @ self.shapes
+        """Posterior of every shape, in the order of SHAPES; x on the open scale."""
+        return _posterior((x - self.centre) / self.scale, self.model)[0] @ self.shapes
 
 
-def fit(stats: DataFrame, common: dict[str, bool], components: int = COMPONENTS, passes: int = PASSES) -> Mixture:
+def fit(stats: DataFrame, common: dict[str, bool], components: int = COMPONENTS, passes: int = PASSES, gain: float = GAIN) -> Mixture:
     """Expectation-maximisation over all rows of stats that hold words or signs. It starts at examples of each shape."""
     worded = stats.where("n_lines > 0")
-    row = worded.agg(*(F.avg(c).alias(f"m_{c}") for c in STATISTICS), *(F.stddev_pop(c).alias(f"s_{c}") for c in STATISTICS)).first()
-    centre = np.array([row[f"m_{c}"] or 0.0 for c in STATISTICS])
-    scale = np.array([max(row[f"s_{c}"] or 0.0, 1e-3) for c in STATISTICS])
-    seen = np.array([[statistics(t, common)[c] for c in STATISTICS] for _, t in EXAMPLES])
+    seen = opened(np.array([[statistics(t, common)[c] for c in STATISTICS] for _, t in EXAMPLES]))
     names = np.array([SHAPES.index(s) for s, _ in EXAMPLES])
+    width = len(STATISTICS)
+    first = _summed(worded, lambda x: {"n": np.full(width, float(len(x))), "s": x.sum(0), "q": (x * x).sum(0)}, ["n", "s", "q"])
+    total = first[0].n if first else 0.0
+    # The examples count as rows of the corpus, so that no scale is zero.
+    n = total + len(seen)
+    centre = (np.array([r.s for r in first] or [0.0] * width) + seen.sum(0)) / n
+    scale = np.sqrt(np.maximum((np.array([r.q for r in first] or [0.0] * width) + (seen**2).sum(0)) / n - centre**2, 2.5e-3))
     z = (seen - centre) / scale
     # Starting means: examples as far apart as possible, at least one of each shape (farthest-point order).
     picked = [int(np.flatnonzero(names == s)[0]) for s in range(len(SHAPES))]
     while len(picked) < min(components, len(z)):
         gap = np.min([((z - z[i]) ** 2).sum(1) for i in picked], axis=0)
         picked.append(int(gap.argmax()))
-    means = z[picked].copy()
-    weights = np.full(len(picked), 1 / len(picked))
-    variances = np.ones_like(means)
-    total = worded.count()
-    for _ in range(passes if total else 0):
-        s, q, w = np.zeros_like(means), np.zeros_like(means), np.zeros(len(means))
-        for r in _pass(worded, centre, scale, (weights, means, variances)):
-            s[r.k, r.d], q[r.k, r.d], w[r.k] = r.s, r.q, r.w
-        live = w > 1e-6 * total
-        means = np.where(live[:, None], s / np.maximum(w, 1e-12)[:, None], means)
-        variances = np.where(live[:, None], np.maximum(q / np.maximum(w, 1e-12)[:, None] - means**2, FLOOR), variances)
-        new = np.maximum(w, 1e-6 * total) / np.maximum(w, 1e-6 * total).sum()
-        if np.abs(new - weights).max() < 1e-4:
-            weights = new
+    k = len(picked)
+    start = z[picked].copy()
+    means, weights, variances = start, np.full(k, 1 / k), np.full_like(start, 0.5)
+    likelihood, done, before = 0.0, 0, -np.inf
+    while total:
+        model = (weights, means, variances)
+
+        def step(x, model=model):
+            x = (x - centre) / scale
+            p, l = _posterior(x, model)
+            return {"w": p.sum(0), "s": p.T @ x, "q": p.T @ (x * x), "l": np.array([l.sum()])}
+
+        sums = _summed(worded, step, ["w", "s", "q", "l"])
+        likelihood = sums[0].l / total
+        if likelihood - before < gain:
             break
-        weights = new
+        if done == passes:
+            raise RuntimeError(f"the mixture still gains {likelihood - before} after {done} passes")
+        before, done = likelihood, done + 1
+        w = np.array([r.w for r in sums[:k]])
+        s, q = (np.array([r[c] for r in sums[: k * width]]).reshape(k, width) for c in ("s", "q"))
+        held = (w + PRIOR)[:, None]
+        means = (s + PRIOR * start) / held
+        variances = (q - 2 * means * s + means**2 * w[:, None] + PRIOR * (0.25 + (start - means) ** 2)) / held + FLOOR
+        weights = (w + 1) / (w + 1).sum()
     model = (weights, means, variances)
-    votes = np.full((len(means), len(SHAPES)), 1e-9)
-    for p, s in zip(_posterior(z, model), names):
+    votes = np.zeros((k, len(SHAPES)))
+    for p, s in zip(_posterior(z, model)[0], names):
         votes[:, s] += p / (names == s).sum()
-    # A component that no example is near takes the shape of the nearest example.
-    for k in np.flatnonzero(votes.sum(1) < 1e-3):
-        votes[k, names[((z - means[k]) ** 2).sum(1).argmin()]] += 1
-    return Mixture(centre, scale, model, votes / votes.sum(1, keepdims=True))
+    # The example that a component started from has a word too, should no example be near any more.
+    votes[np.arange(k), names[picked]] += 1e-3
+    return Mixture(centre, scale, model, votes / votes.sum(1, keepdims=True), done, likelihood)
 
 
 def shapes(stats: DataFrame, mixture: Mixture) -> DataFrame:
-    """stats with the posterior of each shape, and the shape after the exact check of the candidates."""
-    fields = [(f"p_{s}", pa.float64()) for s in SHAPES] + [("shape", pa.string())]
+    """stats with the posterior of each shape, and the shape of the largest."""
+    fields = [f"p_{s}" for s in SHAPES]
     names = [f.name for f in _STATS]
 
     def each(batches):
         for batch in batches:
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            x = np.stack([cols[names.index(c)].to_numpy(zero_copy_only=False) for c in STATISTICS], 1) if batch.num_rows else np.empty((0, len(STATISTICS)))
-            p = mixture.posteriors(x) if len(x) else np.empty((0, len(SHAPES)))
-            out = []
-            for row, post in zip(batch.to_pylist(), p):
-                out.append(None if not row["n_lines"] else checked_shape(row) if 1 - post[0] >= CANDIDATE else "prose")
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(p[:, i]) for i in range(len(SHAPES))), pa.array(out, pa.string())], names=[*names, *(f for f, _ in fields)])
+            p = mixture.posteriors(_rows(batch)) if batch.num_rows else np.empty((0, len(SHAPES)))
+            lines = batch.column(names.index("n_lines")).to_pylist()
+            out = [SHAPES[k] if n else None for n, k in zip(lines, p.argmax(1).tolist() if len(p) else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, i]) for i in range(len(SHAPES))), pa.array(out, pa.string())], names=[*names, *fields, "shape"])
 
     ddl = ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in _STATS)
-    return stats.select(*names).mapInArrow(each, ddl + ", " + ", ".join(f"{f} {'string' if f == 'shape' else 'double'}" for f, _ in fields))
+    return stats.select(*names).mapInArrow(each, ddl + ", " + ", ".join(f"{f} double" for f in fields) + ", shape string")
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,23 +220,43 @@ def test_knapsack_against_brute_force():
 # 8
 
 
-def test_examples_have_their_shapes():
-    words = {"the": False, "and": False, "der": False, "在": True}
+@pytest.fixture(scope="module")
+def fitted(spark):
+    common = quality.common_words(spark, DATA)
+    stats = quality.document_statistics(spark.read.parquet(f"{DATA}/documents.parquet"), common).cache()
+    return common, stats, quality.fit(stats, common)
+
+
+def test_examples_have_their_shapes(fitted):
+    common, _, mixture = fitted
     for shape, text in quality.EXAMPLES:
-        assert quality.checked_shape(quality.statistics(text, words)) == shape, text
+        x = quality.opened(np.array([[quality.statistics(text, common)[c] for c in quality.STATISTICS]]))
+        assert quality.SHAPES[mixture.posteriors(x)[0].argmax()] == shape, text
+
+
+def test_the_mixture_decides_every_shape(fitted):
+    """Shapes are the largest posteriors, and another mapping of the components gives other shapes."""
+    common, stats, mixture = fitted
+    rows = quality.shapes(stats, mixture).where("n_lines > 0").collect()
+    assert all(r.shape == max(quality.SHAPES, key=lambda s: r[f"p_{s}"]) for r in rows)
+    turned = quality.Mixture(mixture.centre, mixture.scale, mixture.model, np.roll(mixture.shapes, 1, axis=1))
+    other = {r.doc_id: r.shape for r in quality.shapes(stats, turned).collect()}
+    assert all(other[r.doc_id] == quality.SHAPES[(quality.SHAPES.index(r.shape) + 1) % 4] for r in rows)
+    with pytest.raises(RuntimeError):
+        quality.fit(stats, common, passes=1)
 
 
 def test_shapes(spark, world):
     assert sorted(found(spark, world, "p8_found")) == [(7, "junk"), (8, "list"), (9, "table"), (10, "junk"), (15, "junk")]
 
 
-def test_mixture_passes_raise_the_likelihood(spark):
-    common = quality.common_words(spark, DATA)
-    stats = quality.document_statistics(spark.read.parquet(f"{DATA}/documents.parquet"), common).cache()
-    x = np.array([[r[c] for c in quality.STATISTICS] for r in stats.where("n_lines > 0").collect()])
-    fits = [quality.fit(stats, common, passes=n) for n in (1, 4, 8)]
+def test_mixture_passes_raise_the_likelihood(fitted):
+    common, stats, _ = fitted
+    x = quality.opened(np.array([[r[c] for c in quality.STATISTICS] for r in stats.where("n_lines > 0").collect()]))
+    fits = [quality.fit(stats, common, gain=g) for g in (1.0, 0.05, 1e-3)]
     likelihood = [np.logaddexp.reduce(quality._log_joint((x - m.centre) / m.scale, *m.model), axis=1).mean() for m in fits]
-    assert likelihood[0] < likelihood[1] <= likelihood[2] + 1e-6
+    assert likelihood[0] <= likelihood[1] <= likelihood[2] and likelihood[0] < likelihood[2]
+    assert likelihood[2] == pytest.approx(fits[2].likelihood)
 
 
 def test_chunks_compose_on_random_texts():
