@@ -5,11 +5,13 @@ chunks are pre-tokenised in parallel. Pre-tokenisation reads from left to right,
 inside their overlap agree from there on: the first such boundary stitches them. The stitched pieces are encoded on their
 own (byte-pair merges never cross a pre-token) and their ids concatenated in order. Neighbours without a common boundary
 (one pre-token longer than the overlap) are joined and encoded as one piece, so the result is always the ids of the whole
-text. Texts of one chunk are encoded at once. Only texts above one chunk are shuffled, by document.
+text. Texts of one chunk are encoded where they lie. The chunks of longer texts are spread over the cluster once, by
+(row, chunk); from there on only boundaries and ids move, except for the rare pieces that span chunks.
 
 Decoding concatenates the raw bytes of the ids and reads them as UTF-8 once per document.
 
-Defined results: null and empty texts give the empty list; strings of special tokens are ordinary text. The vocabulary's
+Defined results: null and empty texts give the empty list; strings of special tokens are ordinary text; rows with one key
+are texts of their own. The vocabulary's
 path is a parameter (TOKENIZERS in the environment, else /opt/tokenizers) and must exist on every executor.
 """
 
@@ -25,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import slices, spread, table
 
 FOLDER = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
@@ -92,6 +94,19 @@ def _encoded(df: DataFrame, keys: str, path: str) -> DataFrame:
     return df.mapInArrow(run, f"{keys}, ids array<int>")
 
 
+def _counted(df: DataFrame, keys: str, path: str) -> DataFrame:
+    """As _encoded, but the number of ids only."""
+
+    def run(batches):
+        coder = encoding(path)
+        for batch in batches:
+            last = batch.num_columns - 1
+            n = [len(coder.encode_to_numpy(t)) if t else 0 for part in slices(batch) for t in part.column(last).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(n, pa.int32())], names=[*batch.schema.names[:last], "tokens"])
+
+    return df.mapInArrow(run, f"{keys}, tokens int")
+
+
 def _boundaries(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """Pre-tokenises chunks: boundaries (absolute) in the first and in the last `overlap` characters of each."""
 
@@ -105,33 +120,45 @@ def _boundaries(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
                 head.append([base + p for p in starts if p < overlap] if n else [])
                 # A pre-token that touches the chunk's end may go on beyond it, and \s+(?!\S) looks one sign ahead.
                 tail.append([base + p for p in starts[:-1] if p >= chunk] if not whole else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=["key", "chunk", "text", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=["row", "chunk", "head", "tail"])
 
-    return df.mapInArrow(run, "key long, chunk int, text string, head array<long>, tail array<long>")
+    return df.select("row", "chunk", "text").mapInArrow(run, "row long, chunk int, head array<long>, tail array<long>")
 
 
-def encode(df: DataFrame, key: str, text: str, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(key, ids) for every row of df; keys must be unique for texts above one chunk."""
-    path = path or f"{FOLDER}/{NAME}.tiktoken"
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    short = _encoded(rows.where(F.col("text").isNull() | (F.length("text") <= chunk)), "key long", path)
-    long = rows.where(F.length("text") > chunk)
+def _pieces(long: DataFrame, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(row, key, piece, text) of the pieces within one chunk, and of those joined from several."""
     # One pass cuts the text; every chunk takes its overlap from the next.
-    cut = long.select("key", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
-    chunks = cut.select("key", F.explode(F.expr(f"transform(c, (x, i) -> struct(i as chunk, concat(x, coalesce(left(get(c, i + 1), {overlap}), '')) as text))")).alias("p")).select("key", "p.chunk", "p.text")
-    order = Window.partitionBy("key").orderBy("chunk")
+    cut = long.withColumn("c", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))
+    parts = F.expr(f"transform(c, (x, i) -> struct(i as chunk, concat(x, coalesce(left(get(c, i + 1), {overlap}), '')) as text))")
+    chunks = cut.select("row", "key", F.explode(parts).alias("p")).select("row", "key", "p.chunk", "p.text").repartition("row", "chunk")
+    order = Window.partitionBy("row").orderBy("chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     # `at` ends a piece inside a chunk's overlap; chunks without one stay joined with their followers.
-    stitched = _boundaries(chunks, chunk, overlap).withColumn("at", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
-    stitched = stitched.withColumn("piece", F.coalesce(F.count("at").over(before), F.lit(0)).cast("int")).withColumn("start", F.coalesce(F.last("at", True).over(before), F.lit(0)))
-    held = stitched.groupBy("key", "piece").agg(F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("l"), F.min("start").alias("start"), F.max("at").alias("at"))
-    last = F.element_at("l", -1)
-    body = F.array_join(F.transform(F.slice("l", F.lit(1), F.size("l") - 1), lambda x: F.left(x["text"], F.lit(chunk))), "")
-    end = F.when(F.col("at").isNull(), F.length(last["text"])).otherwise((F.col("at") - last["chunk"] * F.lit(chunk)).cast("int"))
-    whole = F.concat(body, F.left(last["text"], end))
-    pieces = held.select("key", "piece", F.substr(whole, (F.col("start") - F.element_at("l", 1)["chunk"] * F.lit(chunk) + 1).cast("int")).alias("text"))
-    joined = _encoded(pieces, "key long, piece int", path).groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(joined).withColumnRenamed("key", key)
+    places = _boundaries(chunks, chunk, overlap).withColumn("at", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
+    places = places.select("row", "chunk", "at", F.coalesce(F.count("at").over(before), F.lit(0)).cast("int").alias("piece"), F.coalesce(F.last("at", True).over(before), F.lit(0)).alias("start"), F.lead("chunk").over(order).isNull().alias("end"))
+    base = F.col("chunk") * F.lit(chunk).cast("long")
+    first = F.greatest(F.col("start") - base, F.lit(0))
+    # What a chunk adds to its piece: from where the piece starts to where it ends, else to the next chunk.
+    stop = F.when(F.col("at").isNotNull(), F.col("at") - base).otherwise(F.lit(chunk))
+    own = chunks.join(places, ["row", "chunk"]).select("row", "key", "piece", "chunk", F.substr("text", (first + 1).cast("int"), (stop - first).cast("int")).alias("text"), (F.col("start") >= base).alias("opens"), (F.col("at").isNotNull() | F.col("end")).alias("closes"))
+    # start >= base also where the piece opened in the chunk before, inside its overlap with this one.
+    alone = F.col("opens") & F.col("closes")
+    joined = own.where(~alone).groupBy("row", "key", "piece").agg(F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("l"))
+    return own.where(alone).select("row", "key", "piece", "text"), joined.select("row", "key", "piece", F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"))
+
+
+def encode(df: DataFrame, key: str, text: str, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(key, ids) for every row of df."""
+    short, pieces, path = _parts(df, key, text, path, chunk, overlap)
+    ids = [_encoded(p, "row long, key long, piece int", path) for p in pieces]
+    joined = ids[0].unionByName(ids[1]).groupBy("row", "key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return _encoded(short, "key long", path).unionByName(joined.select("key", "ids")).withColumnRenamed("key", key)
+
+
+def _parts(df: DataFrame, key: str, text: str, path: str | None, chunk: int, overlap: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame], str]:
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    long = rows.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "key", "text")
+    return rows.where(F.col("text").isNull() | (F.length("text") <= chunk)), _pieces(long, chunk, overlap), path or f"{FOLDER}/{NAME}.tiktoken"
 
 
 def decode(df: DataFrame, key: str, ids: str, path: str | None = None) -> DataFrame:
@@ -147,9 +174,12 @@ def decode(df: DataFrame, key: str, ids: str, path: str | None = None) -> DataFr
     return df.select(F.col(key).cast("long").alias("key"), F.col(ids).alias("ids")).mapInArrow(run, "key long, text string").withColumnRenamed("key", key)
 
 
-def sizes(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+def sizes(df: DataFrame, key: str, text: str, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(key, tokens): the number of ids of each text."""
-    return encode(df, key, text, path).select(key, F.size("ids").cast("int").alias("tokens"))
+    short, pieces, path = _parts(df, key, text, path, chunk, overlap)
+    counts = [_counted(p, "row long, key long, piece int", path) for p in pieces]
+    joined = counts[0].unionByName(counts[1]).groupBy("row", "key").agg(F.sum("tokens").cast("int").alias("tokens"))
+    return _counted(short, "key long", path).unionByName(joined.select("key", "tokens")).withColumnRenamed("key", key)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

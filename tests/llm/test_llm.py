@@ -183,6 +183,15 @@ def test_ids_equal_those_of_the_whole_text(spark, world):
     assert all(back[r.doc_id] == (r.text or "") for r in df.select("doc_id", "text").collect())
 
 
+def test_rows_with_one_key_are_texts_of_their_own(spark):
+    texts = ["word " * 2400, "other words " * 700, "word " * 2400, None, "short"]
+    coder = tokenizer.encoding(f"{tokenizer.FOLDER}/{tokenizer.NAME}.tiktoken")
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    want = sorted(coder.encode_ordinary(t or "") for t in texts)
+    assert sorted(list(r.ids) for r in tokenizer.encode(df, "doc_id", "text").collect()) == want
+    assert sorted(r.tokens for r in tokenizer.sizes(df, "doc_id", "text", chunk=500, overlap=30).collect()) == sorted(map(len, want))
+
+
 # 7
 
 
@@ -201,6 +210,50 @@ def test_packing(spark):
     assert len(rows) == len({(r.doc_id, r.part) for r in rows}) == 702 + 2
 
 
+def best_fit(histogram, capacity):
+    rooms = []
+    for n in sorted(histogram, reverse=True):
+        for _ in range(histogram[n]):
+            room = min((r for r in rooms if r >= n), default=None)
+            if room is not None:
+                rooms.remove(room)
+            rooms.append((capacity if room is None else room) - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed,low,high,count", [(1, 1, 100, 600), (2, 5, 60, 400), (3, 30, 55, 300), (4, 1, 7, 50), (5, 80, 100, 30), (6, 10, 100, 40)])
+def test_configuration_program(seed, low, high, count):
+    """The plan holds exactly the histogram, the program's bound is one, and rounding costs little."""
+    rng = np.random.default_rng(seed)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(rng.integers(low, high + 1, count), return_counts=True))}
+    got = packing.plan(histogram, 100)
+    held: dict = {}
+    for config, times in got.configs:
+        assert sum(n * k for n, k in config.items()) <= 100
+        for n, k in config.items():
+            held[n] = held.get(n, 0) + k * times
+    assert held == histogram
+    used = sum(t for _, t in got.configs)
+    volume = -(-sum(n * c for n, c in histogram.items()) // 100)
+    assert volume <= used <= 1.04 * best_fit(histogram, 100) + 1
+    if len(got.program.length):
+        assert got.program.bound <= got.program.value * (1 + 1e-9)
+        # Every class is covered by the fractional solution, scaled to its value.
+        scale = got.program.value / sum(x for _, x in got.program.configs)
+        for j, need in enumerate(got.program.need):
+            assert scale * sum(x * c.get(j, 0) for c, x in got.program.configs) >= need * (1 - 1e-9)
+
+
+def test_program_places_most_items():
+    """On the lengths of the test tables the program, not the best fit after it, fills most containers."""
+    rng = np.random.default_rng(8)
+    lengths = np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, 2048)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True))}
+    got = packing.plan(histogram, 2048)
+    assert got.placed > 0.75 * len(lengths) and got.program.rounds > 100
+    assert sum(t for _, t in got.configs) <= 1.002 * lengths.sum() / 2048 + 1
+
+
 def test_knapsack_against_brute_force():
     rng = random.Random(5)
     for _ in range(40):
