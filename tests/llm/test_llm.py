@@ -147,6 +147,56 @@ def test_clean_text_keeps_structure(spark, world):
     assert sorted(t for i, t in rows if i == 12) == ["code", "heading", "list", "markdown"] and [t for i, t in rows if i == 14] == ["html"]
 
 
+def page(i):
+    """A page with labelled leaves: (its HTML, texts of content, texts of boilerplate)."""
+    rng = random.Random(i)
+    words = "river stone lantern market window garden letter winter harbour bridge keeper clock".split()
+    said = lambda n: ", ".join(" ".join(rng.choice(words) for _ in range(5)) for _ in range(n)).capitalize() + "."
+    paragraphs = [" ".join(said(3) for _ in range(rng.randrange(2, 5))) for _ in range(rng.randrange(2, 5))]
+    items, cells = [f"{rng.choice(words)} no {i} {k}" for k in range(3)], [f"{rng.choice(words)} {i}{k}" for k in range(4)]
+    menu, related = [f"{w.capitalize()} {i}" for w in ("home", "news", "shop", "about")], [f"Also {rng.choice(words)} {i} {k}" for k in range(3)]
+    title = f"The {rng.choice(words)} of {rng.choice(words)} {i}"
+    html = (
+        "<html><body><header><nav><ul>" + "".join(f"<li><a href='/{k}'>{m}</a></li>" for k, m in enumerate(menu)) + "</ul></nav></header>"
+        + f"<main><article><h1>{title}</h1>" + "".join(f"<p>{p}" for p in paragraphs) + "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>"
+        + "<table><tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr></table></article></main>"
+        + "<aside><h2>Related</h2>" + "".join(f"<div><a href='#'>{x}</a></div>" for x in related) + "</aside>"
+        + f"<footer><div><a>Terms {i}</a><a>Contact {i}</a></div></footer></body></html>"
+    )
+    return html, [title, *paragraphs, *items, *cells], [*menu, "Related", *related, f"Terms {i} Contact {i}"]
+
+
+def test_boilerplate_goes_and_content_stays(spark):
+    """Thirty labelled pages, and documents that the choice must not touch."""
+    pages = {i: page(i) for i in range(30)}
+    rows = [(i, h) for i, (h, _, _) in pages.items()] + [(100, EN), (101, "<ul><li>one</li><li>two</li></ul>"), (102, "<nav><ul><li>Home</li><li>News</li></ul></nav>\n" + EN), (103, None), (None, "<p>" + EN)] * 2
+    read = clean.readings(spark.createDataFrame(rows, "file_id long, content string").distinct(), "file_id", "content", True).cache()
+    got = {r.file_id: r for r in clean.selected(read).collect()}
+    for i, (_, content, boilerplate) in pages.items():
+        lines = {x.lstrip("#- ") for x in got[i].clean_text.split("\n")}
+        assert set(content) <= lines and not lines & set(boilerplate) and got[i].dropped == len(boilerplate)
+        assert got[i].traits == ["heading", "html", "list"]
+    assert got[100].clean_text == EN and got[101].clean_text == "- one\n- two" and got[101].traits == ["html", "list"]
+    # The only list is a menu: its markup is HTML, but no list is content.
+    assert got[102].clean_text.strip() == EN and got[102].traits == ["html"]
+    assert got[103].clean_text is None and got[None].clean_text == EN
+    # The sums of tables and of one pass in memory give the same choice, and without a threshold all stays.
+    by_path, limit = clean.ratios([x for _, h in set(rows) for x in clean.Reading(h).sums])
+    for i, (h, _, _) in pages.items():
+        r = clean.Reading(h)
+        assert r.clean(r.kept(by_path, limit)) == got[i].clean_text
+    assert sum(r.dropped for r in clean.selected(read, threshold=0.0).collect()) == 0
+
+
+def test_paths_reach_from_the_root():
+    """Containers far above a leaf tell its path from another's; nested commands are all taken off."""
+    deep = "<div>" * 12
+    r = clean.Reading(f"<nav>{deep}<p>one</p>{'</div>' * 12}</nav><article>{deep}<p>two</p>")
+    assert [t for t in r.texts if t] == ["one", "two"] and len({k for k in r.keys if k}) == 2
+    assert clean.clean("\\section{T}\n" + "\\emph{" * 9 + "deep" + "}" * 9)[0] == "# T\ndeep"
+    assert clean.clean("<div>" * 5000 + "text")[0] == "text"
+
+
 # 5
 
 
