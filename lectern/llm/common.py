@@ -32,14 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a small input that one task of a Python stage gets.
+TASK_BYTES = 4_000_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Gives the Python stage at least two tasks a core; a file with few row groups would leave cores idle.
+    """Gives the Python stage at least two tasks a core and one per TASK_BYTES; few row groups would leave cores idle.
 
-    Only a small input is repartitioned (round robin, no key, so no skew); at scale the scan itself has enough splits.
+    Only an input with fewer splits than that is repartitioned (round robin, no key, so no skew), so at most some hundred
+    megabytes a core are ever moved; at scale the scan itself has enough splits and nothing is shuffled.
     """
     spark = df.sparkSession
     want = 2 * spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(want, size // TASK_BYTES))
 
 
 def bounded(df: DataFrame, most: int, what: str) -> list:

@@ -1,8 +1,10 @@
 """Problem 1: broken prompt and response pairs.
 
 A pair is a file's content and its translated content. Prompt and response are aligned by shingle containment and, where
-that leaves doubt, by the longest common subsequence of their words (bit-parallel, so a long pair costs n*m/64 steps);
-responses are aligned with refusal templates by the same subsequence. The defects, the first that applies:
+that leaves doubt, by the longest common subsequence of their words (bit-parallel, after equal ends and words that only
+one side has are taken off, and in blocks of BLOCK words, so that memory stays small whatever the length). Responses are
+aligned with refusal templates: whole sentences (below) and templates of slots (`refusal`), by the same subsequence. The
+defects, the first that applies:
 
 * empty: null, or no word apart from lines that are never translated, while the prompt has words;
 * refusal: at least half of the response aligns with refusal templates;
@@ -10,9 +12,10 @@ responses are aligned with refusal templates by the same subsequence. The defect
 * wrong_language: most of the response is in neither the prompt's language nor the target;
 * truncated: fewer worded lines than the prompt, an end in mid-sentence, or a last reply that ended for length.
 
-Only verdicts are shuffled, never texts. Attempts are reduced to the last of each line before they meet a file.
-Defined results: a file without a reply is no pair; a file delivered twice gives one row; null content counts as empty
-text; an unknown target language only switches off the language tests; ties between attempts go to the later arrival.
+Only verdicts are shuffled by key; a small input is spread over the cores first. Attempts are reduced to the last of each
+line before they meet a file. Defined results: a file without a reply is no pair; a file delivered twice gives one row,
+that of the gravest verdict in the order above; null content counts as empty text; an unknown target language only
+switches off the language tests; ties between attempts go to the later arrival.
 """
 
 from __future__ import annotations
@@ -23,15 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, normal, spread, table
+from .common import bounded, map_rows, normal, spread, table
 from .language import Languages, fit
 from .markup import BLANK, CODE, NUMBER, TEXT, plain, scan
+from .refusal import declines
+from .refusal import refusing as slotted
 
 SHINGLE = 3
 COPIED = 0.75
 #: A containment outside these bounds decides alone.
 DOUBT = (0.2, 0.97)
 ALIKE = 0.6
+BLOCK = 16_384
+DEFECTS = ("empty", "refusal", "copied", "wrong_language", "truncated")
 
 # What a refusing model says, by language.
 REFUSALS = """
@@ -136,19 +143,41 @@ def tokens(text: str) -> list[str]:
 
 
 def subsequence(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, 64 positions at a time and more (bit-parallel on long integers)."""
+    """Length of the longest common subsequence, a long integer's bits at a time.
+
+    Equal ends belong to it, and words that only one side has do not. What is left of the shorter side is taken in blocks;
+    a block hands its carry of every word of the other side to the next, so the result does not depend on BLOCK.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    both = set(a) & set(b)
+    a, b = [x for x in a if x in both], [x for x in b if x in both]
     if len(a) > len(b):
         a, b = b, a
-    at: dict[str, int] = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for x in b:
-        if x in at:
-            hit = row & at[x]
-            row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    total = head + tail
+    carries = bytearray(len(b))
+    for start in range(0, len(a), BLOCK):
+        block = a[start : start + BLOCK]
+        at: dict[str, int] = {}
+        for i, x in enumerate(block):
+            at[x] = at.get(x, 0) | 1 << i
+        n = len(block)
+        full = (1 << n) - 1
+        row = full
+        more = start + n < len(a)
+        for j, x in enumerate(b):
+            hit = row & at.get(x, 0)
+            if hit or carries[j]:
+                added = row + hit + carries[j]
+                carries[j] = added >> n if more else 0
+                row = (added | row - hit) & full
+        total += n - row.bit_count()
+    return total
 
 
 def containment(a: list[str], b: list[str], size: int = SHINGLE) -> float:
@@ -161,33 +190,16 @@ def containment(a: list[str], b: list[str], size: int = SHINGLE) -> float:
     return sum(x in held for x in own) / len(own)
 
 
-def letters_kept(asked: list[str], given: set[str], answer: list[str]) -> float:
-    """Near the threshold the share is taken by letters: each prompt line counts as far as its shingles come back."""
-    held = {n: set(zip(*(answer[i:] for i in range(n)))) for n in range(1, SHINGLE + 1)}
-    kept = total = 0.0
-    for line in asked:
-        n = len("".join(line.split()))
-        total += n
-        own = tokens(line)
-        if line in given:
-            kept += n
-        elif own:
-            size = min(SHINGLE, len(own))
-            shingles = list(zip(*(own[i:] for i in range(size))))
-            share = sum(x in held[size] for x in shingles) / len(shingles)
-            kept += n * share if share > 0.5 else 0.0
-    return kept / total if total else 0.0
-
-
 _TEMPLATES = [tokens(x) for x in REFUSALS]
 _TEMPLATE_SETS = [set(x) for x in _TEMPLATES]
 
 
 def refusing(sentence: str) -> bool:
-    """Whether a sentence aligns with a template: twice the common subsequence against both lengths."""
+    """Whether a sentence aligns with a template: with one of slots, or a whole one by twice the common subsequence
+    against both lengths."""
+    if slotted(sentence, subsequence):
+        return True
     own = tokens(sentence)
-    if not own or len(own) > 60:
-        return False
     held = set(own)
     for t, s in zip(_TEMPLATES, _TEMPLATE_SETS):
         if len(held & s) >= ALIKE * 0.8 * len(s) and 2 * subsequence(own, t) >= ALIKE * (len(own) + len(t)):
@@ -197,6 +209,8 @@ def refusing(sentence: str) -> bool:
 
 def refusal_share(text: str) -> float:
     """Share of the response's letters in refusing sentences. Quoted speech refuses nothing."""
+    if not declines(text):
+        return 0.0
     own = total = 0
     known: dict[str, bool] = {}
     for sentence in _SENTENCE.findall(text):
@@ -243,8 +257,6 @@ class Pairs:
         same = share
         if DOUBT[0] <= share <= DOUBT[1]:
             same = subsequence(a, b) / len(a)
-            if 0.6 < same < 0.9:
-                same = letters_kept([x for _, x in asked], set(x for _, x in given), b)
         elif share > DOUBT[1]:
             same = 1.0
         goal = self.targets.get((target or "").strip().lower())
@@ -287,7 +299,7 @@ def last_replies(choices: DataFrame) -> DataFrame:
 def pairs(files: DataFrame, choices: DataFrame, languages: DataFrame, model: Languages) -> DataFrame:
     """One row per file with a reply: defect (or null), containment, subsequence share, finish_reason, cut_lines."""
     targets = {}
-    for r in languages.limit(1_000).collect():
+    for r in bounded(languages, 1_000, "languages"):
         targets |= {str(x).strip().lower(): r.lang for x in (r.lang, r.label, r.name_en, r.iso3) if x}
     judge = Pairs(model, targets).judge
 
@@ -295,8 +307,10 @@ def pairs(files: DataFrame, choices: DataFrame, languages: DataFrame, model: Lan
         return [(file_id, *judge(content, answer, target)[:4])]
 
     verdicts = map_rows(files, ["file_id", "content", "translated_content", "target_language"], each, VERDICTS, "file_id long, verdict string, containment double, subsequence double, last_line int")
-    # Deliveries of one file are equal; should they differ, the gravest verdict in the order of the list stands.
-    joined = verdicts.where("file_id is not null").groupBy("file_id").agg(F.max("verdict").alias("verdict"), F.max("containment").alias("containment"), F.max("subsequence").alias("subsequence")).join(last_replies(choices), "file_id")
+    # Deliveries of one file are equal; should they differ, the gravest stands, whole.
+    rank = F.coalesce(*(F.when(F.col("verdict") == d, F.lit(i)) for i, d in enumerate(DEFECTS)), F.lit(len(DEFECTS)))
+    gravest = F.min(F.struct(rank.alias("rank"), -F.col("containment"), "subsequence", "verdict", "containment")).alias("v")
+    joined = verdicts.where("file_id is not null").groupBy("file_id").agg(gravest).select("file_id", "v.verdict", "v.containment", "v.subsequence").join(last_replies(choices), "file_id")
     defect = F.coalesce("verdict", F.when(F.col("finish_reason") == "length", F.lit("truncated")))
     return joined.select("file_id", defect.alias("defect"), "containment", "subsequence", "finish_reason", "cut_lines")
 

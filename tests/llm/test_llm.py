@@ -8,8 +8,10 @@ from compare import DATA, same
 from lectern.llm import clean, language, packing, pairs, pieces, quality, sentences, tokenizer
 from lectern.llm.common import normal
 from lectern.llm.queries import QUERIES, SQL
+from lectern.llm.refusal import declines
 
-from .conftest import CONTENT, EN
+from .conftest import CONTENT, EN, FR
+from .refusals import HARMLESS, HELD_OUT
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -56,6 +58,34 @@ def test_subsequence_against_the_table():
         assert pairs.subsequence(a, b) == plain_lcs(a, b)
 
 
+def test_subsequence_in_blocks(monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(60))] for _ in range(2))
+        assert pairs.subsequence(a, b) == plain_lcs(a, b)
+
+
+def test_refusals_that_no_template_words():
+    """Held-out wordings: at least nine of ten in every language together, and in each all but one."""
+    missed = {k: [s for s in v if pairs.refusal_share(s) < 0.5] for k, v in HELD_OUT.items()}
+    assert sum(map(len, missed.values())) <= 0.1 * sum(map(len, HELD_OUT.values())) and max(map(len, missed.values())) <= 1
+    assert [s for s in HARMLESS if pairs.refusal_share(s) >= 0.5] == []
+    assert all(declines(x) for x in pairs.REFUSALS if x != "Please consult a professional.")
+    long = "I am sorry to say that, " + "having read every line of what was sent to me with the care that it deserves, " * 4 + "I cannot translate this text."
+    assert len(pairs.tokens(long)) > 70 and pairs.refusal_share(long) == 1.0
+
+
+def test_the_gravest_verdict_of_a_file_stands(spark):
+    """Deliveries that differ: empty before refusal before copied, with the figures of the delivery it came from."""
+    rows = [(1, EN, "I'm sorry, but I can't translate this text.", None), (1, EN, None, None), (1, EN, EN, None), (2, EN, EN, None), (2, EN, FR, None)]
+    files = spark.createDataFrame(rows, "file_id long, content string, translated_content string, target_language string")
+    choices = spark.createDataFrame([(i, i, 0, 1, "stop", "x") for i in (1, 2)], "choice_id long, file_id long, line_no int, attempt int, finish_reason string, content string").withColumn("arrived_at", F.current_timestamp())
+    languages = spark.createDataFrame([("en", "x", "English", "eng")], "lang string, label string, name_en string, iso3 string")
+    got = {r.file_id: r for r in pairs.pairs(files, choices, languages, pairs.Languages([], {})).collect()}
+    assert got[1].defect == "empty" and got[2].defect == "copied" and got[2].subsequence == 1.0 == got[2].containment
+
+
 def test_quoted_excuses_are_no_refusals():
     assert pairs.refusal_share("“I'm sorry, but I can't translate this text.”") == 0
     assert pairs.refusal_share("对不起，我无法翻译这段文字。") == 1
