@@ -5,10 +5,13 @@ with the dictionary of each language whose script it uses; the smallest output n
 rejects the line. The lines of one document are then read together: the cheapest labelling (bytes, plus a fixed price for
 each change of language) gives maximal segments, so rejected lines follow their neighbours.
 
-Training: the dictionaries come from a bounded sample of labelled rows (SAMPLE_ROWS rows of SAMPLE_FILES files; a
-dictionary keeps at most DICTIONARY_BYTES). Labels are checked first: a sampled line counts only if its script fits its label and its common
-words name no other language. The sample goes to the driver (at most SAMPLE_ROWS rows of at most SAMPLE_CHARS
-characters) and the dictionaries (at most 12 x DICTIONARY_BYTES) travel with the tasks.
+Training: the dictionaries come from a bounded sample of labelled rows (the SAMPLE_ROWS rows of the smallest hashes in
+SAMPLE_FILES files; a dictionary keeps at most DICTIONARY_BYTES). Labels are checked first: a sampled line counts only if
+its script fits its label and its common words name no other language. Texts are read whole where they lie; only the lines
+of the dictionaries, at most DICTIONARY_BYTES a language, come to the driver and travel with the tasks.
+
+A line whose script leaves one language (Thai, Korean, ...) is not compressed: there is nothing to compare. A rejected
+line takes the language of its neighbours, and the confidence of a segment says how clear its lines were.
 
 Defined results: null, empty and wordless texts have no segment; a document delivered twice counts once; extra columns
 are ignored; an empty table gives an empty result.
@@ -22,14 +25,13 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, normal, spread, table
+from .common import bounded, map_rows, normal, spread, table
 from .markup import TEXT, plain, scan
 
 SAMPLE_ROWS = 4_000
-SAMPLE_CHARS = 4_000
 #: The sample is taken from at most so many files of the table, picked by a hash of their names.
 SAMPLE_FILES = 64
 DICTIONARY_BYTES = 48 * 1024
@@ -206,32 +208,37 @@ def _checked(line: str, lang: str, languages: Languages, common: dict[str, set[s
     return votes[lang] > 0 and votes[lang] >= max(votes.values())
 
 
+_LINES = pa.schema([("lang", pa.string()), ("line", pa.string()), ("size", pa.int64())])
+
+
 def fit(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> Languages:
-    """Dictionaries from a sample of at most about `rows` labelled documents, picked by a hash of their id."""
-    languages = [(r.lang, r.script) for r in table(spark, sf_dir, "languages").select("lang", "script").limit(1_000).collect() if r.lang]
+    """Dictionaries from a sample of `rows` labelled documents, those with the smallest hashes of their ids."""
+    languages = [(r.lang, r.script) for r in bounded(table(spark, sf_dir, "languages").select("lang", "script"), 1_000, "languages") if r.lang]
     common: dict[str, set[str]] = defaultdict(set)
-    for r in table(spark, sf_dir, "common_words").select("lang", "word").limit(10_000).collect():
+    for r in bounded(table(spark, sf_dir, "common_words").select("lang", "word"), 10_000, "common_words"):
         common[r.lang].add(r.word)
+    model = Languages(languages, {})
     documents = table(spark, sf_dir, "documents")
     names = documents.inputFiles()
     if len(names) > SAMPLE_FILES:
         documents = spark.read.schema(documents.schema).parquet(*sorted(names, key=lambda n: zlib.crc32(n.rpartition("/")[2].encode()))[:SAMPLE_FILES])
-    every = max(1, documents.count() // rows)
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.lower(F.trim("lang")).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    labelled = documents.select(F.xxhash64("doc_id").alias("hash"), F.lower(F.trim("lang")).alias("lang"), "text").where(F.col("lang").isin([k for k, _ in languages]) & F.col("text").isNotNull())
+    # The hash of the last row of the sample: numbers only are moved to find it.
+    last = labelled.select("hash").orderBy("hash").limit(rows).agg(F.max("hash")).first()[0]
+
+    def each(lang, text):
+        lines = normal(text).split("\n")
+        found = (_BLANKS.sub(" ", plain(x)).strip() for x, kind in zip(lines, scan(lines)) if kind == TEXT)
+        return [(lang, x, n + 1) for x in found if x and (n := len(x.encode())) < dictionary_bytes and _checked(x, lang, model, common)]
+
     texts: dict[str, list[bytes]] = defaultdict(list)
-    held: Counter = Counter()
-    model = Languages(languages, {})
-    seen: set[str] = set()
-    for r in sample.where("lang is not null and text is not null").limit(2 * rows).collect():
-        if r.lang not in model.script or held[r.lang] >= dictionary_bytes:
-            continue
-        lines = normal(r.text).split("\n")
-        for line, kind in zip(lines, scan(lines)):
-            text = _BLANKS.sub(" ", plain(line)).strip() if kind == TEXT else ""
-            if text and text not in seen and held[r.lang] < dictionary_bytes and _checked(text, r.lang, model, common):
-                seen.add(text)
-                texts[r.lang].append(data := text.encode())
-                held[r.lang] += len(data) + 1
+    if last is not None:
+        lines = map_rows(labelled.where(F.col("hash") <= last), ["lang", "text"], each, _LINES, "lang string, line string, size long")
+        # Lines of the sample, a bounded number, by a hash of their own until a dictionary is full.
+        order = Window.partitionBy("lang").orderBy(F.xxhash64("line"), "line")
+        held = lines.groupBy("line").agg(F.min("lang").alias("lang"), F.max("size").alias("size")).withColumn("upto", F.sum("size").over(order))
+        for r in held.where(F.col("upto") <= dictionary_bytes).orderBy("lang", "upto").collect():
+            texts[r.lang].append(r.line.encode())
     for lang, _ in languages:
         # The common words stand last, where matches cost least; they also serve a language without a sample.
         model.texts[lang] = b"\n".join([*texts[lang], " ".join(sorted(common.get(lang, {lang}))).encode()])

@@ -148,6 +148,12 @@ def test_pieces(spark, world):
         assert last == len(text)
     assert {r.cut for r in by[9]} == {"word", "end"} and {r.cut for r in by[10]} == {"hard", "end"}
     assert sorted(found(spark, world, "p3_found")) == [(9, "cut"), (10, "hard_cut")]
+    # A stretch of 495 unbroken signs is cut by pieces of 450, but no piece of 500 needs to be cut in it.
+    near = pieces.pieces(spark.createDataFrame([(1, "a b " * 100 + "x" * 495 + " c" * 300), (2, "a b " * 100 + "x" * 505 + " c" * 300), (3, "y" * 2000), (4, "z. " * 400)], "i long, t string"), "i", "t", 500, 50)
+    assert {r.i: r.stretch for r in near.collect()} == {1: 495, 2: 505, 3: 2000, 4: 0}
+    # Running sums over several blocks.
+    long = pieces.pieces(spark.createDataFrame([(1, "ab " * 9000)], "i long, t string"), "i", "t", 30, 5).orderBy("piece").collect()
+    assert len(long) > 2 * pieces.BLOCK and long[-1].end_char == 27_000 and all(b.start_char == a.end_char - 5 for a, b in zip(long, long[1:]))
     with pytest.raises(ValueError):
         pieces.pieces(spark.createDataFrame([], "a long, b string"), "a", "b", 5, 5)
 
