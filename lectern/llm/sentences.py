@@ -3,9 +3,11 @@
 Method: the boundary rules are compiled into a finite transducer. A lexer with bounded look-around turns the text into
 symbols (words, terminal stops, colons, opening and closing quotes and brackets, line breaks that end or continue a
 sentence); the transducer's states remember the open quote or bracket (two levels), how it was opened and whether it
-ended with a stop. A symbol met in a start state begins a unit. A text above one chunk is lexed chunk by chunk in
-parallel; each chunk becomes a function from entry state to exit state, the functions are composed by a prefix scan over
-the chunks of a document, and the chunks are then run from their known entry states.
+ended with a stop. A symbol met in a start state begins a unit. The chunks of a text above one chunk are spread over the
+cluster and lexed once; each becomes a function from entry state to exit state, with the units that begin in it for every
+entry state (few differ, as a line's end resets the transducer). The functions are composed by a parallel prefix scan: up a
+tree of FAN chunks a node, three levels for the longest string there can be, and down again with entry states, which then
+pick each chunk's units.
 
 Every non-blank character belongs to one unit. Defined results: null, empty and blank texts have no unit; offsets count
 code points of the normalised text; a document delivered twice gives equal rows, kept once.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import normal, normal_column, spread, table
+from .common import checkpointed, map_rows, normal, normal_column, slices, spread, table
 
 CHUNK = 8192
 MARGIN = 512
@@ -30,15 +32,16 @@ LOOK = 384
 #: Lines at least this long can be wrapped lines; beyond the other they are paragraphs.
 WRAP = (24, 100)
 SLACK = 3
+FAN = 64
 
 # Abbreviations that do not end a sentence, without their stop, in small letters.
 TITLES = set(
-    "mr mrs ms dr prof st sr sra srta dra drs hr fr frl m mm mme mlle me sig sigg sra dott dottssa ing avv on rev hon gen col capt lt sgt av avda rua via ul pl ave blvd rd "
+    "mr mrs messrs ms dr prof st sr sra srta dra drs hr fr frl m mm mme mlle me sig sigg sra dott dottssa ing avv on rev hon gen gov sen col maj cmdr adm capt lt sgt al av avda rua via ul pl ave blvd rd "
     "d.h z.b u.a i.e e.g ca approx env aprox circa ca. vs cf vgl bzw usw inkl evtl sog bes ggf "
     "проф г гг ул им т.е т.д т.п д-р г-н г-жа тов стр рис см напр пр обл пер пл "
     "د ص أ م ดร กก น นาย พ.ศ".split()
 )
-NUMBERED = set("no nos nr núm num n nº p pp pag págs pág s abb fig figs abs art kap cap ch sec vol bd ed aufl taf tab eq стр рис гл п табл h".split())
+NUMBERED = set("no nos nr núm num n nº p pp pag págs pág s abb fig figs abs art kap cap ch chap chaps sec secs sect sects para paras vol bd ed aufl taf tab eq стр рис гл п табл h".split())
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
 #: Thai words that carry a sentence on after a blank.
 THAI_GO = ("กับ", "และ", "หรือ", "ที่", "ซึ่ง", "ใน", "ของ", "โดย", "จาก", "ถึง", "แต่", "ว่า", "รุ่น", "มา", "กก.", "น.", "บันทึก", "เมื่อ", "เพื่อ", "ไป", "เป็น", "อยู่")
@@ -313,13 +316,24 @@ def run(symbols: list[tuple[int, int]], state: int = 0) -> tuple[list[int], int]
     return out, state
 
 
-def function(symbols: list[tuple[int, int]]) -> list[int]:
-    """The chunk as a function: exit state by entry state."""
-    move = transducer()[0]
+def function(symbols: list[tuple[int, int]]) -> tuple[list[int], list[int], list[list[int]]]:
+    """The chunk as a function: (exit state by entry state, which starts by entry state, the different lists of starts)."""
+    move, begins, *_ = transducer()
+    reset = next((i for i, (x, _) in enumerate(symbols) if x in (BLANK, END)), len(symbols))
     v = np.arange(len(move), dtype=np.int16)
-    for symbol, _ in symbols:
+    rows = []
+    for symbol, _ in symbols[:reset]:
+        rows.append(begins[v, symbol])
         v = move[v, symbol]
-    return v.tolist()
+    tail: list[int] = []
+    if reset < len(symbols):
+        # From here on every entry state runs alike.
+        tail, state = run(symbols[reset:])
+        v = np.full(len(move), state)
+    if not rows:
+        return v.tolist(), [0] * len(move), [tail]
+    kinds, pick = np.unique(np.array(rows), axis=1, return_inverse=True)
+    return v.tolist(), pick.ravel().tolist(), [[symbols[i][1] for i in np.flatnonzero(k).tolist()] + tail for k in kinds.T]
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -344,59 +358,66 @@ _UNITS = pa.schema([("file_id", pa.int64()), ("start_char", pa.int64()), ("end_c
 def _short(df: DataFrame) -> DataFrame:
     def each(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 2_000):
-                part = batch.slice(a, 2_000)
+            for part in slices(batch):
                 rows = [(k, x, y) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for x, y in units(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], schema=_UNITS)
 
     return df.mapInArrow(each, "file_id long, start_char long, end_char long")
 
 
-_FOUND = pa.schema([("file_id", pa.int64()), ("chunk", pa.int32()), ("found", pa.list_(pa.int64())), ("before", pa.list_(pa.int64())), ("first", pa.int64()), ("last", pa.int64())])
+_INTS, _LISTS = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))
+_FOUND = pa.schema([("row", pa.int64()), ("file_id", pa.int64()), ("chunk", pa.int32()), ("f", _INTS), ("pick", _INTS), ("starts", _LISTS), ("befores", _LISTS), ("first", pa.int64()), ("last", pa.int64())])
+_FOUND_DDL = "row long, file_id long, chunk int, f array<int>, pick array<int>, starts array<array<long>>, befores array<array<long>>, first long, last long"
 
 
-def _chunked(df: DataFrame, chunk: int, entry: bool) -> DataFrame:
-    """Per chunk its function; or with known entry states the starts of its units, the end of the text before each
-    (-1 where only blanks of the margin lie before it), and its first and last non-blank places."""
+def _chunked(df: DataFrame, chunk: int) -> DataFrame:
+    """Per chunk its function, the starts of its units by entry state with the end of the text before each (-1 where only
+    blanks of the margin lie before it), and its first and last non-blank places."""
 
-    def each(batches):
-        for batch in batches:
-            cols = batch.to_pydict()
-            out = []
-            for i, (k, n, text) in enumerate(zip(cols["file_id"], cols["chunk"], cols["text"])):
-                base = max(0, n * chunk - MARGIN)
-                own = [(s, base + at) for s, at in lex(text) if n * chunk <= base + at < (n + 1) * chunk]
-                if not entry:
-                    out.append((k, n, function(own), None, None, None))
-                    continue
-                starts = run(own, cols["entry"][i])[0]
-                ends = [base + len(t) if (t := text[: at - base].rstrip()) else -1 for at in starts]
-                body = text[n * chunk - base : (n + 1) * chunk - base]
-                blank = not body.strip()
-                out.append((k, n, starts, ends, None if blank else n * chunk + len(body) - len(body.lstrip()), None if blank else n * chunk + len(body.rstrip())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_FOUND)], schema=_FOUND)
-
-    return df.mapInArrow(each, "file_id long, chunk int, found array<long>, before array<long>, first long, last long")
+    def each(row, key, n, text):
+        base = max(0, n * chunk - MARGIN)
+        exits, pick, starts = function([(s, base + at) for s, at in lex(text) if n * chunk <= base + at < (n + 1) * chunk])
+        ends = [[base + len(t) if (t := text[: at - base].rstrip()) else -1 for at in x] for x in starts]
+        body = text[n * chunk - base : (n + 1) * chunk - base]
+        blank = not body.strip()
+        return [(row, key, n, exits, pick, starts, ends, None if blank else n * chunk + len(body) - len(body.lstrip()), None if blank else n * chunk + len(body.rstrip()))]
+
+    return map_rows(df, ["row", "file_id", "chunk", "text"], each, _FOUND, _FOUND_DDL)
+
+
+def entry_states(functions: DataFrame) -> DataFrame:
+    """(row, chunk, entry) from (row, chunk, f): the prefix scan. No node of the tree holds more than FAN functions."""
+    node = functions.select("row", F.col("chunk").alias("n0"), "f")
+    levels = []
+    for k in (1, 2, 3):
+        held = node.groupBy("row", F.expr(f"n{k - 1} div {FAN}").cast("int").alias(f"n{k}")).agg(F.sort_array(F.collect_list(F.struct(f"n{k - 1}", "f"))).alias("l"))
+        levels.append(held)
+        # Composition in order: what the node makes of every entry state.
+        node = held.select("row", f"n{k}", F.expr("aggregate(slice(l, 2, size(l)), l[0].f, (a, x) -> transform(a, s -> x.f[s]))").alias("f"))
+    entry = levels[2].select("row", "n3", F.lit(0).alias("entry"))
+    for k in (3, 2, 1):
+        down = levels[k - 1].join(entry, ["row", f"n{k}"])
+        states = F.expr("aggregate(slice(l, 1, size(l) - 1), array(entry), (a, x) -> concat(a, array(x.f[element_at(a, -1)])))")
+        entry = down.select("row", F.explode(F.arrays_zip(F.expr(f"transform(l, x -> x.n{k - 1})").alias("n"), states.alias("entry"))).alias("z")).select("row", F.col("z.n").alias(f"n{k - 1}"), "z.entry")
+    return entry.withColumnRenamed("n0", "chunk")
 
 
 def sentence_units(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """(file_id, start_char, end_char) of every unit of every row's text. A chunk is at least MARGIN long."""
     rows = df.select(F.col(key).cast("long").alias("file_id"), normal_column(F.col(text)).alias("text")).where("text is not null and file_id is not null")
     short = _short(rows.where(F.length("text") <= chunk))
-    # Deliveries of one file are equal: only long texts need to be told apart by key, so only they are made distinct.
-    long = rows.where(F.length("text") > chunk).dropDuplicates(["file_id"])
+    long = rows.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "file_id", "text")
     # One pass cuts the text; every chunk takes the margins from its neighbours.
-    cut = long.select("file_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
+    cut = long.select("row", "file_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
     with_margins = f"transform(c, (x, i) -> struct(i as chunk, concat(coalesce(right(get(c, i - 1), {MARGIN}), ''), x, coalesce(left(get(c, i + 1), {MARGIN}), '')) as text))"
-    parts = cut.select("file_id", F.explode(F.expr(with_margins)).alias("p")).select("file_id", "p.chunk", "p.text")
-    functions = _chunked(parts, chunk, False).groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "found"))), lambda x: x["found"]).alias("f"))
-    # The prefix scan: entry state of each chunk by applying the functions before it, state 0 first.
-    entries = functions.select("file_id", F.posexplode(F.expr("aggregate(slice(f, 1, size(f) - 1), array(cast(0 as bigint)), (a, g) -> concat(a, array(g[cast(element_at(a, -1) as int)])))")).alias("chunk", "entry"))
-    found = _chunked(parts.join(entries, ["file_id", "chunk"]), chunk, True)
-    earlier = F.max("last").over(Window.partitionBy("file_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    parts = cut.select("row", "file_id", F.explode(F.expr(with_margins)).alias("p")).select("row", "file_id", "p.chunk", "p.text").repartition("row", "chunk")
+    # Numbers only from here on; they are read twice, for the scan and for the units.
+    chunks = checkpointed(_chunked(parts, chunk))
+    found = chunks.join(entry_states(chunks.select("row", "chunk", "f")), ["row", "chunk"]).select("row", "file_id", "chunk", F.expr("starts[pick[entry]]").alias("found"), F.expr("befores[pick[entry]]").alias("before"), "first", "last")
+    earlier = F.max("last").over(Window.partitionBy("row").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("_e", F.coalesce(earlier, F.lit(0))).withColumn("before", F.expr("transform(before, x -> if(x < 0, _e, x))"))
     flat = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", c))), lambda x: x[c]))
-    docs = found.groupBy("file_id").agg(flat("found").alias("s"), flat("before").alias("b"), F.min("first").alias("first"), F.max("last").alias("last")).where("first is not null")
+    docs = found.groupBy("row", "file_id").agg(flat("found").alias("s"), flat("before").alias("b"), F.min("first").alias("first"), F.max("last").alias("last")).where("first is not null")
     # A text that opens with something that begins no unit still belongs to one.
     opened = F.coalesce(F.get("s", F.lit(0)) > F.col("first"), F.lit(True))
     starts = F.when(opened, F.concat(F.array("first"), "s")).otherwise(F.col("s"))

@@ -108,6 +108,7 @@ def test_quoted_excuses_are_no_refusals():
         ("One\n\ntwo", 2),
         ("(He left. It was late.) She stayed (until ten. Or so).", 2),
         ("Er kam am 5. März. Es war z. B. spät.", 2),
+        ("See Sect. 5 of Ash et al. The rest is in Chap. 7.", 1),
         ("", 0),
         (" \n ", 0),
         ("...", 1),
@@ -129,6 +130,32 @@ def test_sentence_chunks_compose(spark, world):
         assert sorted(got.get(i, [])) == sentences.units(normal(c or "")), i
 
 
+def test_entry_states_by_the_tree(spark):
+    """The scan over three levels against a plain loop, on random functions of a few states."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for row, n in ((1, 1), (2, 63), (3, 64), (4, 65), (5, 4097 + 5)):
+        state = 0
+        for k in range(n):
+            f = [rng.randrange(5) for _ in range(5)] if rng.random() < 0.5 else rng.sample(range(5), 5)
+            rows.append((row, k, f))
+            want[row, k] = state
+            state = f[state]
+    rng.shuffle(rows)
+    got = sentences.entry_states(spark.createDataFrame(rows, "row long, chunk int, f array<int>")).collect()
+    assert {(r.row, r.chunk): r.entry for r in got} == want
+
+
+def test_function_of_a_chunk():
+    """From every entry state the function gives the exit and the starts of a plain run."""
+    rng = random.Random(12)
+    for _ in range(60):
+        symbols = [(rng.randrange(sentences.SYMBOLS) if rng.random() < 0.97 else sentences.END, i) for i in range(rng.randrange(60))]
+        exits, pick, starts = sentences.function(symbols)
+        for state in range(len(exits)):
+            assert (starts[pick[state]], exits[state]) == sentences.run(symbols, state)
+
+
 # 3
 
 
