@@ -50,6 +50,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(want, size // TASK_BYTES))
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks for a stage that computes much over few bytes, which Spark would otherwise merge into one or two."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def bounded(df: DataFrame, most: int, what: str) -> list:
     """The rows of a small table on the driver. A table above the bound is an error, never cut."""
     rows = df.limit(most + 1).collect()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, normal, normal_column, slices, spread, table
+from .common import checkpointed, map_rows, normal, normal_column, slices, spread, table, tasks
 
 CHUNK = 8192
 MARGIN = 512
@@ -410,7 +410,7 @@ def sentence_units(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> Da
     # One pass cuts the text; every chunk takes the margins from its neighbours.
     cut = long.select("row", "file_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
     with_margins = f"transform(c, (x, i) -> struct(i as chunk, concat(coalesce(right(get(c, i - 1), {MARGIN}), ''), x, coalesce(left(get(c, i + 1), {MARGIN}), '')) as text))"
-    parts = cut.select("row", "file_id", F.explode(F.expr(with_margins)).alias("p")).select("row", "file_id", "p.chunk", "p.text").repartition("row", "chunk")
+    parts = cut.select("row", "file_id", F.explode(F.expr(with_margins)).alias("p")).select("row", "file_id", "p.chunk", "p.text").repartition(tasks(df), "row", "chunk")
     # Numbers only from here on; they are read twice, for the scan and for the units.
     chunks = checkpointed(_chunked(parts, chunk))
     found = chunks.join(entry_states(chunks.select("row", "chunk", "f")), ["row", "chunk"]).select("row", "file_id", "chunk", F.expr("starts[pick[entry]]").alias("found"), F.expr("befores[pick[entry]]").alias("before"), "first", "last")

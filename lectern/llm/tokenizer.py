@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, spread, table
+from .common import slices, spread, table, tasks
 
 FOLDER = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
@@ -130,7 +130,7 @@ def _pieces(long: DataFrame, chunk: int, overlap: int) -> tuple[DataFrame, DataF
     # One pass cuts the text; every chunk takes its overlap from the next.
     cut = long.withColumn("c", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))
     parts = F.expr(f"transform(c, (x, i) -> struct(i as chunk, concat(x, coalesce(left(get(c, i + 1), {overlap}), '')) as text))")
-    chunks = cut.select("row", "key", F.explode(parts).alias("p")).select("row", "key", "p.chunk", "p.text").repartition("row", "chunk")
+    chunks = cut.select("row", "key", F.explode(parts).alias("p")).select("row", "key", "p.chunk", "p.text").repartition(tasks(long), "row", "chunk")
     order = Window.partitionBy("row").orderBy("chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     # `at` ends a piece inside a chunk's overlap; chunks without one stay joined with their followers.
