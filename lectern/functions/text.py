@@ -308,3 +308,20 @@ def partition_cuts(text: Column, weights: Column) -> Column:
         return F.struct(s.alias("sum"), at.alias("last"), F.concat(acc["cuts"], F.array(at)).alias("cuts"))
 
     return F.aggregate(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), start, step)["cuts"]
+
+
+def running(numbers: Column, block: int = 256) -> Column:
+    """0 and the running sums of an array, in blocks: no array longer than a block is copied once per element."""
+
+    def sums(a: Column) -> Column:
+        return F.aggregate(a, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(numbers), F.lit(1)) - 1) / block).cast("int")), lambda i: sums(F.slice(numbers, i * block + 1, F.lit(block))))
+
+    def joined(parts: Column) -> Column:
+        before = sums(F.transform(parts, lambda p: F.element_at(p, -1)))
+        moved = F.transform(F.arrays_zip(parts.alias("p"), before.alias("b")), lambda z: F.transform(F.slice(z["p"], 2, block), lambda n: n + z["b"]))
+        return F.concat(F.array(F.lit(0)), F.flatten(F.filter(moved, lambda a: a.isNotNull())))
+
+    # The blocks are summed once and used twice.
+    return F.element_at(F.transform(F.array(parts), joined), 1)

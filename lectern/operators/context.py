@@ -38,6 +38,12 @@ POSSIBLE = (
     "【单元边界判断】\n当前原文可能是上一单元的后半句，也可能只是没有规范标点的新段落。请结合最近原文和已确认译文判断：若为续句，只译当前实际内容并直接衔接，"
     "不得重复上文；若为新段落，则正常完整翻译。不得仅因缺少标点而省略主语或信息。"
 )
+STRONG = "【跨单元衔接提示】\n版面结构表明当前原文是上一单元同一句话的后半段。只译当前实际出现的内容，直接承接上一段译文；不要重复上一段已有的主语、动作或修饰语，也不要补成独立句。"
+AGAIN = "这是重译任务。参考内容只用于理解语境、消除歧义并统一术语、称谓和语气。\n"
+AGAIN_OLD = "请对照原文检查旧译文中的错译、漏译、增译、称谓、术语、语气和不自然表达，然后完整地重新翻译当前文本。旧译文可能有错，只能作为纠错参考。\n"
+AGAIN_NEW = "请忽略旧版译文，基于原文和本轮已经确认的新译文，完整地重新翻译当前文本。\n"
+AGAIN_ONLY = "只输出修正后的完整译文，不得输出分析、修改说明、原文、旧译文或前后文；单段译文内部不要自行换行。\n\n"
+OLD = "【当前旧译文（仅供检查，不得盲目照抄）】\n"
 BEFORE, AFTER = "【最近已确认译文（用于统一术语、称谓和语气）】\n", "【邻近下文参考（尚未翻译的原文）】\n"
 
 
@@ -152,18 +158,28 @@ def with_context(units: DataFrame, key: str, size: int, before: int = 2, after:
     return units.withColumn("context_before", F.array_join(F.reverse(capped(F.reverse(past), cap_before)), "\n\n")).withColumn("context_after", F.array_join(capped(F.transform(coming, T.strip), cap_after), "\n\n"))
 
 
-def prompt(text: Column, before: Column, after: Column, mode: Column, source: Column, target: Column) -> Column:
-    note = F.when(mode == "possible", F.lit("\n\n" + POSSIBLE)).otherwise("")
+def prompt(
+    text: Column, before: Column, after: Column, mode: Column, source: Column, target: Column,
+    reference: Column | None = None, kind: Column | None = None, again: Column | None = None, old: Column | None = None,
+) -> Column:
+    """A unit's request. mode: strong, possible or ''; again: whether it is translated anew, with the old text if there is one."""
+    reference, kind, again, old = (F.lit(v) if c is None else c for c, v in ((reference, ""), (kind, ""), (again, False), (old, "")))
+    note = F.when(mode == "strong", F.lit("\n\n" + STRONG)).when(mode == "possible", F.lit("\n\n" + POSSIBLE)).otherwise("")
     task = F.concat(F.lit("\n\n【当前待译文本（"), source, F.lit(" → "), target, F.lit("）】\n"), text)
-    around = F.concat_ws("\n\n", F.when(before != "", F.concat(F.lit(BEFORE), before)), F.when(after != "", F.concat(F.lit(AFTER), after)))
-    return F.concat(F.when(around == "", F.lit(ALONE)).otherwise(F.concat(F.lit(BESIDE), around)), note, task)
+    fixed = F.concat(F.lit("【固定"), kind, F.lit("（只供理解，禁止翻译或输出）】\n"), reference, F.lit("\n【固定"), kind, F.lit("结束】"))
+    around = F.concat_ws("\n\n", F.when(reference != "", fixed), F.when(before != "", F.concat(F.lit(BEFORE), before)), F.when(after != "", F.concat(F.lit(AFTER), after)))
+    anew = F.concat(
+        F.lit(AGAIN), F.when(old != "", F.lit(AGAIN_OLD)).otherwise(AGAIN_NEW), F.lit(AGAIN_ONLY), F.when(around != "", F.concat(around, F.lit("\n\n"))).otherwise(""),
+        F.when(old != "", F.concat(F.lit("\n\n" + OLD), old)).otherwise(""),
+    )
+    return F.concat(F.when(again, anew).when(around == "", F.lit(ALONE)).otherwise(F.concat(F.lit(BESIDE), around)), note, task)
 
 
 def request(text: str, before: str, after: str, mode: str, source: str, target: str, reference: str = "", kind: str = "") -> str:
     """prompt() for one unit whose history is known only as the loop goes, with the fixed reference if there is one."""
     fixed = f"【固定{kind}（只供理解，禁止翻译或输出）】\n{reference}\n【固定{kind}结束】" if reference else ""
     around = "\n\n".join(x for x in (fixed, before and BEFORE + before, after and AFTER + after) if x)
-    note = "\n\n" + POSSIBLE if mode == "possible" else ""
+    note = {"strong": "\n\n" + STRONG, "possible": "\n\n" + POSSIBLE}.get(mode, "")
     return (BESIDE + around if around else ALONE) + note + f"\n\n【当前待译文本（{source} → {target}）】\n{text}"
 
 
@@ -220,7 +236,7 @@ def windows(costs: Column, edges: Column, budget: int | Column) -> Column:
     least one, and goes back to its last edge if that keeps a third of it.
     """
     n = F.size(costs)
-    sums = F.aggregate(costs, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    sums = T.running(costs)
     return_type = "array<struct<first: int, last: int>>"
 
     def step(a: Column, _: Column) -> Column:

@@ -15,7 +15,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import accumulate, chain, islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -59,16 +59,22 @@ def budget(text: str) -> int:
 
 
 def complete(translate: Callable[[str, int], tuple[str, str | None]], prompt: str, first: int, limit: int, retries: int, wait: Callable[[float], None] = time.sleep) -> str:
-    """One reply: transient failures wait and try again, replies cut for length get a larger budget at once."""
+    """One reply: failures wait and try again, replies cut for length get a larger budget at once.
+
+    Whatever the transport raises is worth another try, except what the service says is final.
+    """
     size, tries = min(first, limit), 0
     while True:
         try:
             out, reason = translate(prompt, size)
-        except ServiceError as e:
+        except LengthError:
+            raise
+        except Exception as e:
             tries += 1
-            if e.status not in TRANSIENT or tries >= retries:
+            if isinstance(e, ServiceError) and e.status not in TRANSIENT or tries >= retries:
                 raise
-            wait(min(60.0, max(0.0, e.retry_after)) if e.retry_after is not None else min(20.0, 1.5 * 2 ** (tries - 1)))
+            after = getattr(e, "retry_after", None)
+            wait(min(20.0, 1.5 * 2 ** (tries - 1)) if after is None else min(60.0, max(0.0, after)))
             continue
         if reason != "length":
             return out
@@ -79,42 +85,41 @@ def complete(translate: Callable[[str, int], tuple[str, str | None]], prompt: st
         size = larger
 
 
+def within(texts: Iterable[str], cap: int) -> list[str]:
+    """The texts up to the first that no longer fits under the cap: what `context.capped` does to a column."""
+    texts = list(texts)
+    sums = accumulate(map(X.tokens_of, texts))
+    return texts[: sum(1 for _ in takewhile(cap.__ge__, sums))]
+
+
 def recent(history: list[tuple[str, str]], s: Settings) -> str:
     """The last pairs, newest first while the token cap allows, in reading order."""
     if s.mode == "unit" or not s.context_units:
         return ""
-    cap, used, kept = T.context_caps(s.context_size)[0], 0, []
-    for source, done in reversed(history[-s.context_units :]):
-        block = f"[原文]\n{source}\n[译文]\n{done}"
-        used += X.tokens_of(block)
-        if used > cap:
-            break
-        kept.append(block)
-    return "\n\n".join(reversed(kept))
+    newest = (f"[原文]\n{source}\n[译文]\n{done}" for source, done in history[: -s.context_units - 1 : -1])
+    return "\n\n".join(within(newest, T.context_caps(s.context_size)[0])[::-1])
 
 
 def coming(pieces: Iterable[str], s: Settings) -> str:
     """The next pieces of the source, whole ones, while the token cap allows."""
-    cap, used, kept = T.context_caps(s.context_size)[1], 0, []
     if s.mode == "unit":
         return ""
-    for piece in islice(filter(None, map(str.strip, pieces)), max(0, s.future_units)):
-        used += X.tokens_of(piece)
-        if used > cap:
-            break
-        kept.append(piece)
-    return "\n\n".join(kept)
+    worded = islice(filter(None, map(str.strip, pieces)), max(0, s.future_units))
+    return "\n\n".join(within(worded, T.context_caps(s.context_size)[1]))
 
 
 _OUT = pa.schema([("file_id", pa.int64()), ("line_no", pa.int32()), ("out", pa.string()), ("resumed", pa.bool_()), ("error", pa.string())])
 
 
 def translate_units(units: DataFrame, translate: Callable[[str, int], tuple[str, str | None]], settings: Settings | None = None, resume: DataFrame | None = None) -> DataFrame:
-    """(file_id, line_no, out, resumed, error) of every translatable unit. An error ends its document, not the task."""
+    """(file_id, line_no, out, resumed, error) of every translatable unit. An error ends its document, not the task.
+
+    A line that a checkpoint holds twice with different texts is asked for again: nothing tells which was written last.
+    """
     s = settings or Settings()
     whole = Window.partitionBy("file_id")
     rows = translatable(units).select("file_id", "line_no", "unit.prefix", "unit.text", "unit.suffix")
-    kept = resume.where("text is not null").groupBy("file_id", "line_no").agg(F.max("text").alias("kept")) if resume is not None else None
+    kept = resume.where("text is not null").groupBy("file_id", "line_no").agg(F.when(F.min("text") == F.max("text"), F.max("text")).alias("kept")) if resume is not None else None
     rows = rows.join(kept, ["file_id", "line_no"], "left") if kept is not None else rows.withColumn("kept", F.lit(None).cast("string"))
     worded = T.strip(F.col("text")) != ""
     rows = rows.withColumn("source", T.detected_language(F.col("text"), whole)).withColumn("n", F.count_if(worded).over(whole.orderBy("line_no")))
@@ -169,8 +174,8 @@ def translate_units(units: DataFrame, translate: Callable[[str, int], tuple[str,
                             raise LengthError("an empty translation")
                         parts.append(done)
                         local.append((unit, done))
-                except (ServiceError, LengthError) as e:
-                    failed = str(e)
+                except Exception as e:  # whatever a model raises ends its document, not the task
+                    failed = str(e) or type(e).__name__
                     out.append((file_id, line_no, None, False, failed))
                     continue
                 body = joiner.join(parts)

@@ -81,12 +81,13 @@ def _fixed() -> int:
 
 
 _SAFETY = max(256, min(4096, int(SIZE * 0.06)))
-_BUDGET = f"greatest(0, {SIZE - _fixed() - _CAP_BEFORE - _SAFETY} - max({S.tokens('text')}) - max(greatest(256, trunc({S.tokens('text')} * 1.5::DOUBLE)::INT + 256)))"
+_PIECES = S.pieces("t", "file_id, line_no", T.unit_limit(SIZE))
 
 
-@query(f"WITH {_T} SELECT file_id, {_BUDGET} AS budget FROM t WHERE {S.tokens('text')} <= {T.unit_limit(SIZE)} GROUP BY ALL")
+@query(f"""WITH RECURSIVE {_T}, {_PIECES}, n AS (SELECT file_id, max({S.tokens("unit")}) AS n FROM pc GROUP BY ALL)
+    SELECT file_id, greatest(0, {SIZE - _fixed() - _CAP_BEFORE - _SAFETY} - n - greatest(256, trunc(n * 1.5::DOUBLE)::INT + 256)) AS budget FROM n""")
 def q_reference_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Every file with words, its long lines by their pieces. The SQL cannot say the cut and leaves lines above the limit out."""
+    """Every file with words, its long lines by their pieces."""
     return X.reference_budget(_units(spark, d), "file_id", SIZE)
 
 
@@ -158,6 +159,33 @@ def q_prompt(spark: SparkSession, d: str) -> DataFrame:
     return _prompts(spark, d).select("file_id", "line_no", "mode", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("n"))
 
 
+_NOTES = [("", ""), ("possible", X.POSSIBLE), ("strong", X.STRONG)]
+_FORMS = ["once", "again", "again_old"]
+
+
+def _sql_form(form: str) -> str:
+    fixed = "CASE WHEN context_before <> '' THEN '【固定全文原文参考（只供理解，禁止翻译或输出）】' || chr(10) || line || chr(10) || '【固定全文原文参考结束】' END"
+    around = f"concat_ws({_NL2}, {fixed}, CASE WHEN context_before <> '' THEN '{X.BEFORE}' || context_before END, CASE WHEN context_after <> '' THEN '{X.AFTER}' || context_after END)"
+    if form == "once":
+        return f"CASE WHEN {around} = '' THEN '{X.ALONE}' ELSE '{X.BESIDE}' || {around} END"
+    wish, old = (X.AGAIN_OLD, f"{_NL2} || '{X.OLD}' || '旧：' || text") if form == "again_old" else (X.AGAIN_NEW, "''")
+    return f"'{X.AGAIN}{wish}{X.AGAIN_ONLY}' || CASE WHEN {around} = '' THEN '' ELSE {around} || {_NL2} END || {old}"
+
+
+@query(f"""WITH {_T}, {_BEFORE}, {_AFTER}, fo AS (SELECT ca.*, target_language FROM ca JOIN f ON ca.file_id = f.file_id),
+    pf AS ({" UNION ALL ".join(f"SELECT file_id, line_no, '{form}' AS form, '{mode}' AS mode, {_sql_form(form)} || {_NL2 + " || '" + note + "' || " if note else ""}{_NL2} || '【当前待译文本（' || {_DETECT.format(x='text')} || ' → ' || target_language || '）】' || chr(10) || text AS prompt FROM fo" for form in _FORMS for mode, note in _NOTES)})
+    SELECT file_id, line_no, form, mode, sha256(prompt) AS digest FROM pf""")
+def q_prompt_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every unit's request in all nine forms: once, anew and anew with its old text, each with every note; the fixed
+    reference (here the line) stands where something comes before."""
+    units = X.with_context(_units(spark, d), "file_id", SIZE).join(files(spark, d, "target_language"), "file_id")
+    units = units.withColumn("form", F.explode(F.array(*map(F.lit, _FORMS)))).withColumn("mode", F.explode(F.array(*(F.lit(m) for m, _ in _NOTES))))
+    reference = F.when(C("context_before") != "", C("line")).otherwise("")
+    old = F.when(C("form") == "again_old", F.concat(F.lit("旧："), "text")).otherwise("")
+    made = X.prompt(C("text"), C("context_before"), C("context_after"), C("mode"), T.detected_language(C("text")), C("target_language"), reference, F.lit("全文原文参考"), C("form") != "once", old)
+    return units.select("file_id", "line_no", "form", "mode", F.sha2(made, 256).alias("digest"))
+
+
 @query(f"""WITH {_T}, {_BEFORE}, {_AFTER}, e AS (SELECT file_id, line_no, {S.tokens("text")} + {S.tokens("context_before")} + {S.tokens("context_after")} + 1 + {_fixed() - 512} + 1 + 384 AS est, {S.tokens("text")} AS n FROM ca)
     SELECT file_id, line_no, est, {SIZE} - est - 96 AS available, {SIZE} - est - 96 >= 256 AS feasible,
         CASE WHEN {SIZE} - est - 96 >= 256 THEN least({SIZE} - est - 96, least(80000, greatest(384, trunc(n * 2.25::DOUBLE)::INT + 384))) END AS max_tokens FROM e""")
@@ -168,7 +196,7 @@ def q_request_budget(spark: SparkSession, d: str) -> DataFrame:
     return df.select("file_id", "line_no", "est", "available", (C("available") >= 256).alias("feasible"), F.when(C("available") >= 256, F.least("available", "budget")).alias("max_tokens"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_T}, {_PIECES} SELECT file_id, line_no, piece, unit FROM pc")
 def q_semantic_units(spark: SparkSession, d: str) -> DataFrame:
     """Lines as requests; lines above the limit are cut into sentences."""
     df = X.semantic_units(_units(spark, d).select("file_id", "line_no", "text"), "text", SIZE)
@@ -202,14 +230,12 @@ def q_translate_file(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file_id", "n_units", F.sha2("out", 256).alias("out_digest"))
 
 
-@query(f"""WITH {S.UNITS} SELECT u.file_id, u.line_no, CASE WHEN {S.strip("coalesce(r.text, '')")} <> '' THEN r.text ELSE prefix || '译：' || u.text || suffix END AS out,
-    {S.strip("coalesce(r.text, '')")} <> '' AS resumed FROM u LEFT JOIN resume_lines r ON r.file_id = u.file_id AND r.line_no = u.line_no WHERE translate AND {S.tokens("u.text")} <= {T.unit_limit(65536)}""")
+@query(f"""WITH RECURSIVE {_T}, {S.pieces("t", "file_id, line_no", T.unit_limit(65536))},
+    j AS (SELECT file_id, line_no, string_agg({S.rstrip("'译：' || unit")}, '' ORDER BY piece) AS body FROM pc GROUP BY ALL)
+    SELECT u.file_id, u.line_no, CASE WHEN {S.strip("coalesce(r.text, '')")} <> '' THEN r.text ELSE prefix || body || suffix END AS out, {S.strip("coalesce(r.text, '')")} <> '' AS resumed
+    FROM u JOIN j USING (file_id, line_no) LEFT JOIN resume_lines r ON r.file_id = u.file_id AND r.line_no = u.line_no WHERE translate""")
 def q_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Files through the pluggable pipeline with the stub as model, replaying checkpoints.
-
-    Every unit is there. The SQL cannot say the cut of a long line and has only the units up to the sub-unit limit; the
-    longer ones, marked by the stub once a piece, are held against brute force on a fixture.
-    """
+    """Files through the pluggable pipeline with the stub as model, replaying checkpoints; a long line piece by piece."""
     units = U.document_units(file_lines(spark, d))
     out = P.translate_units(units, P.stub_model, resume=table(spark, d, "resume_lines"))
     return out.select("file_id", "line_no", "out", "resumed")

@@ -106,3 +106,28 @@ UNITS = (
     u AS (SELECT file_id, ext, line_no, line, translate, CASE WHEN translate THEN prefix END AS prefix, CASE WHEN translate THEN text END AS text,
                  CASE WHEN translate THEN suffix END AS suffix FROM (SELECT * FROM md UNION ALL SELECT * FROM su UNION ALL SELECT * FROM bi))"""
 )
+
+SENTENCES = rf"'(?s).+?(?:[。！？.!?]+[”’\"」』）)\]]*{WS}*|$)'".replace('\\"', '"')
+
+
+def pieces(source: str, keys: str, limit: int) -> str:
+    """CTEs up to pc(keys, piece, unit): the lines `text` of source as requests, those above the limit cut by recursion.
+
+    From each place to the furthest sentence end within the limit, else to the last blank of the upper half of what fits.
+    """
+    return f"""
+    lx AS (SELECT {keys}, text, regexp_extract_all(text, {SENTENCES}) AS s FROM {source} WHERE {tokens("text")} > {limit}),
+    le AS (SELECT {keys}, text, list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: length(x)))::BIGINT) AS ends FROM lx),
+    lr AS (SELECT {keys}, text, ends, 0::BIGINT AS place, 0 AS piece, ''::VARCHAR AS unit FROM le
+           UNION ALL
+           SELECT {keys}, text, ends, stop + length(rest) - length({lstrip("rest")}), piece + (cut <> '')::INT, cut
+           FROM (SELECT *, substr(text, stop + 1) AS rest, {strip("substr(text, place + 1, stop - place)")} AS cut
+                 FROM (SELECT *, coalesce(fit, CASE WHEN contains(seg, ' ') AND low + length(regexp_extract(seg, '(?s)^(.*) [^ ]*$', 1)) > place
+                                                THEN low + length(regexp_extract(seg, '(?s)^(.*) [^ ]*$', 1)) ELSE place + room END) AS stop
+                       FROM (SELECT *, place + greatest(1, room // 2) AS low, substr(text, place + greatest(1, room // 2) + 1, room + 1 - greatest(1, room // 2)) AS seg
+                             FROM (SELECT *, greatest(1, (near - place) * {limit} // {tokens("substr(text, place + 1, near - place)")}) AS room
+                                   FROM (SELECT *, list_min(list_filter(ends, lambda e: e > place)) AS near,
+                                                list_max(list_filter(ends, lambda e: e > place AND {tokens("substr(text, place + 1, e - place)")} <= {limit})) AS fit
+                                         FROM lr WHERE place < length(text))))))),
+    pc AS (SELECT {keys}, 0 AS piece, text AS unit FROM {source} WHERE {tokens("text")} <= {limit}
+           UNION ALL SELECT {keys}, piece - 1, unit FROM lr WHERE unit <> '')"""
