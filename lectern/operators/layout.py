@@ -61,7 +61,7 @@ def reading_order(boxes: DataFrame, width: float, height: float) -> DataFrame:
     """Adds region, column, column_count, position, column_units, spanning, footer to (page, box, text, x0, x1, top, bottom).
 
     Footers come last. Boxes that span the page divide it; between them, gaps divide bands, bands have columns, columns
-    are read from top to bottom. Everything is windows over one page except the columns' running means, a fold.
+    are read from top to bottom. Everything is windows over one page except the columns' running means, a fold per region.
     """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\A\s+|\s+\z", "")
     footer = (C("top") > height * 0.88) & (F.length(text) <= 8) & ~text.rlike(r"[A-Za-z\x{3400}-\x{9fff}]")
@@ -72,7 +72,8 @@ def reading_order(boxes: DataFrame, width: float, height: float) -> DataFrame:
     by_top = page.orderBy("top").rangeBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("segment", F.sum(F.when(C("spanning"), 1).otherwise(0)).over(by_top))
     span_no = F.row_number().over(Window.partitionBy("page", "spanning").orderBy("top", "box"))
-    df = df.withColumn("segment", F.when(C("footer"), 1_000_000).when(C("spanning"), span_no - 1).otherwise(C("segment")))
+    below = F.count_if("spanning").over(page) + 1  # the footer's segment, after every other
+    df = df.withColumn("segment", F.when(C("footer"), below).when(C("spanning"), span_no - 1).otherwise(C("segment")))
     free = ~C("footer") & ~C("spanning")
     kind = F.when(C("spanning"), 1).when(C("footer"), 2).otherwise(0)
     df = df.withColumn("kind", kind)
@@ -83,14 +84,15 @@ def reading_order(boxes: DataFrame, width: float, height: float) -> DataFrame:
     df = df.withColumn("band", F.sum("_new").over(order))
     region = F.dense_rank().over(page.orderBy("segment", "kind", "band")) - 1
     df = df.withColumn("region", region)
-    group = Window.partitionBy("page", "region")
-    xs = F.sort_array(F.collect_list(F.struct("x0", "box")).over(group))
-    df = df.withColumn("_x", xs).withColumn("_c", clusters(F.transform("_x", lambda s: s["x0"]), F.lit(width * 0.12)))
-    at = F.array_position(F.transform("_x", lambda s: s["box"]), C("box")).cast("int")
-    df = df.withColumn("column", F.when(free, F.get("_c", at - 1)).otherwise(0)).withColumn("column_count", F.when(free, F.element_at("_c", -1) + 1).otherwise(1))
+    # One row per region folds its left edges once; its boxes come back from that row.
+    rows = df.drop("_new", "band", "segment", "kind").columns
+    regions = df.groupBy("page", "region").agg(F.sort_array(F.collect_list(F.struct("x0", "box", *(c for c in rows if c not in ("page", "region", "x0", "box"))))).alias("_l"))
+    regions = regions.withColumn("_c", clusters(F.transform("_l", lambda s: s["x0"]), F.lit(width * 0.12)))
+    df = regions.select("page", "region", F.element_at("_c", -1).alias("_last"), F.explode(F.arrays_zip("_l", "_c")).alias("_z")).select("page", "region", "_last", "_z._l.*", C("_z._c").alias("_no"))
+    df = df.withColumn("column", F.when(free, C("_no")).otherwise(0)).withColumn("column_count", F.when(free, C("_last") + 1).otherwise(1))
     column = Window.partitionBy("page", "region", "column")
     df = df.withColumn("position", F.row_number().over(column.orderBy("top", "x0", "box")) - 1).withColumn("column_units", F.count("*").over(column))
-    return df.drop("_x", "_c", "_new", "band", "segment", "kind")
+    return df.select(*rows, "column", "column_count", "position", "column_units")
 
 
 def page_units(lines: Column) -> Column:
@@ -148,39 +150,77 @@ def ocr_kept(text: Column, score: Column, left: Column, top: Column, right: Colu
     return (score >= 0.45) & (compact != "") & ~lone & compact.rlike(r"[A-Za-z\x{3400}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]") & shape
 
 
-_STOP = re.compile(r"[。！？.!?；;：:]\s*[\"'”’」』）)\]]*$")
-_BULLET = re.compile(r"[-*•▪◦]\s|\(?\d{1,4}[.)、]|[A-Za-z][.)]\s")
 _BLOCK = pa.schema([("page", pa.int64()), ("block", pa.int32()), ("text", pa.string()), ("x0", pa.float64()), ("x1", pa.float64()), ("top", pa.float64()), ("bottom", pa.float64()), ("n", pa.int32())])
+_STOP = re.compile(r"[。！？.!?；;：:]\s*[\"'”’」』）)\]]*$")
 
 
 def ocr_blocks(lines: DataFrame, width: float, height: float) -> DataFrame:
     """Recognised lines in reading order, joined into blocks of one flow.
 
-    A line is held against the block that it would join, so this is a loop; it runs over sorted partitions in one pass,
-    with one open block, instead of one call per page.
+    Whether a line may join the one before at all (same column, no bullet, no heading) is columns. What is left looks at
+    the block that it would join, its lowest edge, its left edge and its last stop, so it is a loop; it runs over sorted
+    partitions in one pass, with one open block, instead of one call per page.
     """
+    order = Window.partitionBy("page").orderBy("region", "column", "position")
+    tall = F.greatest(F.lit(1.0), C("bottom") - C("top"))
+    flows = (C("region") == F.lag("region").over(order)) & (C("column") == F.lag("column").over(order))
+    joins = F.coalesce(flows, F.lit(False)) & ~T.bullet_like(C("text")) & ~T.heading_like(C("text"))
+    df = lines.withColumn("joins", joins).withColumn("reach", F.greatest(tall * 1.35, F.lit(height * 0.012)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, place, number = None, None, 0
+        block: dict | None = None
         for batch in batches:
-            out = []
-            for page, region, column, text, x0, x1, top, bottom in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                tall = max(1.0, bottom - top)
-                joins = (
-                    held is not None and place == (page, region, column) and top - held[6] <= max(tall * 1.35, height * 0.012) and abs(x0 - held[3]) <= width * 0.06
-                    and not _STOP.search(held[2]) and not _BULLET.match(text)
-                )
-                if joins:
-                    glue = held[2][:-1] + text if held[2].endswith("-") and text[:1].isalnum() else held[2] + " " + text
-                    held = [page, held[1], glue, min(held[3], x0), max(held[4], x1), min(held[5], top), max(held[6], bottom), held[7] + 1]
+            done = []
+            for row in batch.to_pylist():
+                if block and row["page"] == block["page"] and row["joins"] and row["top"] - block["bottom"] <= row["reach"] and abs(row["x0"] - block["x0"]) <= width * 0.06 and not _STOP.search(block["text"]):
+                    held, text = block["text"], row["text"]
+                    block["text"] = held[:-1] + text if held.endswith("-") and text[:1].isalnum() else f"{held} {text}"
+                    block |= {k: f(block[k], row[k]) for k, f in (("x0", min), ("x1", max), ("top", min), ("bottom", max))} | {"n": block["n"] + 1}
                     continue
-                if held is not None:
-                    out.append(held)
-                number = number + 1 if held is not None and held[0] == page else 0
-                held, place = [page, number, text, x0, x1, top, bottom, 1], (page, region, column)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_BLOCK)], schema=_BLOCK)
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held[i]], f.type) for i, f in enumerate(_BLOCK)], schema=_BLOCK)
-
-    ordered = lines.repartition("page").sortWithinPartitions("page", "region", "column", "position")
-    return ordered.select("page", "region", "column", "text", "x0", "x1", "top", "bottom").mapInArrow(run, "page long, block int, text string, x0 double, x1 double, top double, bottom double, n int")
+                number = block["block"] + 1 if block and block["page"] == row["page"] else 0
+                if block:
+                    done.append(block)
+                block = {k: row[k] for k in ("page", "text", "x0", "x1", "top", "bottom")} | {"block": number, "n": 1}
+            yield pa.RecordBatch.from_pylist(done, schema=_BLOCK)
+        yield pa.RecordBatch.from_pylist([block] if block else [], schema=_BLOCK)
+
+    ordered = df.repartition("page").sortWithinPartitions("page", "region", "column", "position")
+    return ordered.select("page", "joins", "reach", "text", "x0", "x1", "top", "bottom").mapInArrow(run, "page long, block int, text string, x0 double, x1 double, top double, bottom double, n int")
+
+
+def first_replaced(text: Column, pattern: str, new: str) -> Column:
+    """text with the first match of pattern replaced."""
+    return F.regexp_replace(text, rf"(?s)\A(.*?){pattern}", "$1" + new.replace("$2", "$3").replace("$1", "$2"))
+
+
+def spacing_choice(laid: DataFrame, plain: DataFrame, page: str, order: str) -> DataFrame:
+    """(page, n, same, choice) of two extractions (page, order, laid) and (page, order, plain): plain if it has as many units,
+    of the same signs, with fewer blanks. Units meet by position; a page that only one side has stays as it is."""
+    blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    bare = lambda c: F.regexp_replace(c, rf"(?U){T.WS}+", "")
+    both = laid.join(plain, [page, order], "full").groupBy(page).agg(
+        F.count("laid").alias("n"), F.count("plain").alias("m"), F.bool_and(bare(C("laid")) == bare(C("plain"))).alias("equal"), F.sum(blanks(C("laid"))).alias("a"), F.sum(blanks(C("plain"))).alias("b")
+    )
+    same = (C("n") == C("m")) & F.coalesce("equal", F.lit(True))
+    return both.select(page, "n", same.alias("same"), F.when(same & (C("b") < C("a")), "plain").otherwise("layout").alias("choice"))
+
+
+def fragment_map(units: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(doc_id, line_no, mapped, fragments): fragments (doc_id, line_no, i, key) of each unit (doc_id, line_no, key), in order.
+
+    A page is mapped if its fragments spell exactly its units and every unit ends with a fragment; otherwise none of its
+    units is. Both sides become running lengths, so that a unit's end is an equality.
+    """
+    stops = Window.partitionBy("doc_id").orderBy("line_no", "i")
+    spelled = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "i", "key"))), lambda x: x["key"]), "")
+    f = fragments.withColumn("stop", F.sum(F.length("key")).over(stops)).withColumn("k", F.row_number().over(stops))
+    u = units.withColumn("stop", F.sum(F.length("key")).over(Window.partitionBy("doc_id").orderBy("line_no")))
+    ends = f.groupBy("doc_id", "stop").agg(F.max("k").alias("k"))
+    text = fragments.groupBy("doc_id").agg(F.sha2(spelled, 256).alias("digest"))
+    own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "key"))), lambda x: x["key"]), "")
+    pages = u.groupBy("doc_id").agg(F.sha2(own, 256).alias("own")).join(text, "doc_id", "left").select("doc_id", F.coalesce(C("own") == C("digest"), F.lit(False)).alias("spelled"))
+    met = u.join(ends, ["doc_id", "stop"], "left")
+    page = Window.partitionBy("doc_id")
+    met = met.join(pages, "doc_id").withColumn("mapped", C("spelled") & (F.count("k").over(page) == F.count("*").over(page)))
+    n = C("k") - F.coalesce(F.lag("k").over(page.orderBy("line_no")), F.lit(0))
+    return met.select("doc_id", "line_no", "mapped", F.when(C("mapped"), n).cast("long").alias("fragments"))

@@ -253,27 +253,35 @@ def q_toc_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH {S.DOCS}, v AS (SELECT doc_id, {S.collapsed("line")} AS v FROM dl), w AS (SELECT doc_id, v, regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '\p{{Nd}}') AS alpha, regexp_extract_all(v, '[A-Za-z]+') AS t FROM v WHERE v <> '')
     SELECT doc_id, count(*) AS n, count(*) >= 6 AND ((count_if(alpha) >= 6 AND count_if(alpha AND length(regexp_replace(v, '[{S.IN}\x{{ad}}]+', '', 'g')) <= 3) / greatest(1, count_if(alpha)) >= 0.65)
-        OR bool_or(len(t) >= 8 AND len(list_filter(t, lambda x: length(x) <= 2)) / len(t) >= 0.7)) AS fragmented FROM w GROUP BY doc_id""")
+        OR bool_or(len(t) >= 8 AND len(list_filter(t, lambda x: length(x) <= 2)) / len(t) >= 0.7)
+        OR sum(len(regexp_extract_all(' ' || v, '(?:^|[^\p{{L}}\p{{N}}_])[B-HJ-Z] [a-z]{{2,}}(?:$|[^\p{{L}}\p{{N}}_])'))) >= 2) AS fragmented FROM w GROUP BY doc_id""")
 def q_fragmented(spark: SparkSession, d: str) -> DataFrame:
-    """Pages whose text came out in single glyphs: many tiny units, or a unit of mostly one- and two-letter tokens."""
+    """Pages whose text came out in single glyphs: many tiny units, a unit of mostly one- and two-letter tokens, or two
+    words whose capital stands apart (A and I are words of their own)."""
     v = document_lines(spark, d).select("doc_id", T.collapsed(C("line")).alias("v")).where("v <> ''")
     alpha = C("v").rlike("[A-Za-z]") & ~C("v").rlike(r"\p{Nd}")
     t = F.regexp_extract_all("v", F.lit("[A-Za-z]+"), F.lit(0))
     broken = (F.size(t) >= 8) & (F.size(F.filter(t, lambda x: F.length(x) <= 2)) / F.greatest(F.size(t), F.lit(1)) >= 0.7)
-    out = v.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(alpha).alias("a"), F.count_if(alpha & (F.length(T.layout_key(C("v"))) <= 3)).alias("tiny"), F.bool_or(broken).alias("broken"))
-    return out.select("doc_id", "n", ((C("n") >= 6) & (((C("a") >= 6) & (C("tiny") / F.greatest(C("a"), F.lit(1)) >= 0.65)) | C("broken"))).alias("fragmented"))
+    out = v.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(alpha).alias("a"), F.count_if(alpha & (F.length(T.layout_key(C("v"))) <= 3)).alias("tiny"), F.bool_or(broken).alias("broken"), F.sum(F.regexp_count("v", F.lit(r"(?U)\b[B-HJ-Z]\s+[a-z]{2,}\b"))).alias("apart"))
+    return out.select("doc_id", "n", ((C("n") >= 6) & (((C("a") >= 6) & (C("tiny") / F.greatest(C("a"), F.lit(1)) >= 0.65)) | C("broken") | (C("apart") >= 2))).alias("fragmented"))
 
 
-@query(rf"""WITH {S.DOCS}, p AS (SELECT doc_id, count(*) AS n, bool_and(regexp_replace(line, '[{S.IN}]+', '', 'g') = regexp_replace({S.collapsed("line")}, '[{S.IN}]+', '', 'g')) AS same,
-    sum(length(line) - length(replace(line, ' ', '')))::BIGINT AS a, sum(length({S.collapsed("line")}) - length(replace({S.collapsed("line")}, ' ', '')))::BIGINT AS b FROM dl GROUP BY doc_id)
-    SELECT doc_id, n, CASE WHEN same AND b < a THEN 'plain' ELSE 'layout' END AS choice FROM p""")
+# The two extractions of a page: layout units are its lines with bogus blanks, plain ones without; of some documents the
+# plain text has a line less, or another word.
+_LAID = "regexp_replace(line, '([b-hj-z])([a-z]{3})', '\\1 \\2')"
+_PLAIN = "CASE WHEN doc_id % 7 = 0 AND line_no = 0 THEN line || 'x' ELSE line END"
+
+
+@query(rf"""WITH {S.DOCS}, la AS (SELECT doc_id, line_no, CASE WHEN doc_id % 3 = 0 THEN line ELSE {_LAID} END AS unit FROM dl), pl AS (SELECT doc_id, line_no, {_PLAIN} AS unit FROM dl WHERE doc_id % 5 <> 0 OR line_no > 0),
+    p AS (SELECT coalesce(la.doc_id, pl.doc_id) AS doc_id, count(la.unit) AS n, count(la.unit) = count(pl.unit) AND coalesce(bool_and(regexp_replace(la.unit, '[{S.IN}]+', '', 'g') = regexp_replace(pl.unit, '[{S.IN}]+', '', 'g')), true) AS same,
+        sum(length(la.unit) - length(replace(la.unit, ' ', '')))::BIGINT AS a, sum(length(pl.unit) - length(replace(pl.unit, ' ', '')))::BIGINT AS b FROM la FULL JOIN pl ON la.doc_id = pl.doc_id AND la.line_no = pl.line_no GROUP BY 1)
+    SELECT doc_id, n, coalesce(same, false) AS same, CASE WHEN same AND b < a THEN 'plain' ELSE 'layout' END AS choice FROM p""")
 def q_spacing_choice(spark: SparkSession, d: str) -> DataFrame:
-    """Plain extraction (here: collapsed lines) is chosen if it differs from the layout's lines in fewer blanks only."""
-    blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    bare = lambda c: F.regexp_replace(c, rf"(?U){T.WS}+", "")
-    plain = T.collapsed(C("line"))
-    out = document_lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(bare(C("line")) == bare(plain)).alias("same"), F.sum(blanks(C("line"))).alias("a"), F.sum(blanks(plain)).alias("b"))
-    return out.select("doc_id", "n", F.when(C("same") & (C("b") < C("a")), "plain").otherwise("layout").alias("choice"))
+    """The plain extraction of a page is chosen if it has as many units, with the same signs, and fewer blanks."""
+    lines = document_lines(spark, d)
+    laid = lines.select("doc_id", "line_no", F.when(C("doc_id") % 3 == 0, C("line")).otherwise(L.first_replaced(C("line"), "([b-hj-z])([a-z]{3})", "$1 $2")).alias("laid"))
+    plain = lines.where("doc_id % 5 <> 0 or line_no > 0").select("doc_id", "line_no", F.expr(_PLAIN).alias("plain"))
+    return L.spacing_choice(laid, plain, "doc_id", "line_no")
 
 
 @query(rf"""WITH RECURSIVE {S.DOCS}, a AS (SELECT doc_id, list(line ORDER BY line_no) AS l FROM dl GROUP BY doc_id),
@@ -292,22 +300,68 @@ def q_pdf_page_units(spark: SparkSession, d: str) -> DataFrame:
     return df.select("doc_id", F.sha2(F.array_join("u", "\n"), 256).alias("digest"), F.size("u").cast("long").alias("n"))
 
 
-@query()
+# Recognised lines: every box with a text of its own; some are headings, bullets or end in stops, most run on.
+_SAID = """CASE WHEN l_partkey % 11 = 0 THEN 'CHAPTER ' || l_suppkey WHEN l_partkey % 13 = 0 THEN '- part ' || l_partkey WHEN l_partkey % 7 = 0 THEN 'it ends at ' || l_partkey || '.'
+    WHEN l_partkey % 5 = 0 THEN 'goes on with a hyphen-' ELSE 'the line ' || l_partkey || ' goes on' END"""
+_LINES = f"""b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS box, {_SAID} AS text, 40.0::DOUBLE + l_suppkey % 3 * 20 AS x0,
+    (240 + l_partkey % 60)::DOUBLE AS x1, (l_linenumber * 14 + l_quantity % 4)::DOUBLE AS top, (l_linenumber * 14 + 11)::DOUBLE AS bottom, 9.0::DOUBLE AS size FROM lineitem)"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "lineitem")
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return df.select(C("l_orderkey").alias("page"), number.alias("box"), F.expr(_SAID).alias("text"), (40.0 + C("l_suppkey") % 3 * 20).cast("double").alias("x0"), (240 + C("l_partkey") % 60).cast("double").alias("x1"),
+                     (C("l_linenumber") * 14 + C("l_quantity") % 4).cast("double").alias("top"), (C("l_linenumber") * 14 + 11).cast("double").alias("bottom"), F.lit(9.0).alias("size"))
+
+
+_OCR_LINES = _ORDER.replace(_B, _LINES)
+_TALL = f"greatest(greatest(1.0, q.bottom - q.top) * 1.35, {H * 0.012})"
+
+
+@query(rf"""WITH RECURSIVE {_OCR_LINES}, o AS (SELECT ro.page, ro.box, ro.text, b.x0, b.x1, b.top, b.bottom, row_number() OVER w AS k,
+        coalesce(region = lag(region) OVER w AND "column" = lag("column") OVER w, false) AND NOT regexp_matches({S.lstrip("ro.text")}, {_BULLET}) AND NOT ({_heading(S.strip("ro.text"))}) AS joins
+        FROM ro JOIN b USING (page, box) WINDOW w AS (PARTITION BY ro.page ORDER BY region, "column", position)),
+    gr AS (SELECT page, k, 0 AS block, text, x0, x1, top, bottom, 1 AS n FROM o WHERE k = 1
+          UNION ALL
+          SELECT page, k, CASE WHEN j THEN block ELSE block + 1 END, CASE WHEN NOT j THEN t WHEN ends_with(text, '-') AND regexp_matches(t, '^[\p{{L}}\p{{N}}]') THEN substr(text, 1, length(text) - 1) || t ELSE text || ' ' || t END,
+                 CASE WHEN j THEN least(x0, a0) ELSE a0 END, CASE WHEN j THEN greatest(x1, a1) ELSE a1 END, CASE WHEN j THEN least(top, a_top) ELSE a_top END, CASE WHEN j THEN greatest(bottom, a_bottom) ELSE a_bottom END, CASE WHEN j THEN n + 1 ELSE 1 END
+          FROM (SELECT q.page, q.k, gr.block, gr.text, gr.x0, gr.x1, gr.top, gr.bottom, gr.n, q.text AS t, q.x0 AS a0, q.x1 AS a1, q.top AS a_top, q.bottom AS a_bottom,
+                       q.joins AND q.top - gr.bottom <= {_TALL} AND abs(q.x0 - gr.x0) <= {W * 0.06} AND NOT regexp_matches(gr.text, {_TERMINAL}) AS j
+                FROM gr JOIN o q ON q.page = gr.page AND q.k = gr.k + 1))
+    SELECT page, block, arg_max(text, k) AS text, arg_max(x0, k) AS x0, arg_max(x1, k) AS x1, arg_max(top, k) AS top, arg_max(bottom, k) AS bottom, arg_max(n, k) AS n FROM gr GROUP BY page, block""")
 def q_ocr_groups(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a page as blocks."""
-    lines = L.reading_order(_boxes(spark, d), W, H)
+    lines = L.reading_order(_lines(spark, d), W, H)
     return L.ocr_blocks(lines, W, H)
 
 
-@query()
+# Fragments: the words of a document's lines; in some documents one is lost, one is left over, or two are swapped.
+def _key(x: str) -> str:
+    return rf"regexp_replace({x}, '[{S.IN}\x{{ad}}]+', '', 'g')"
+
+
+
+@query(rf"""WITH {S.DOCS}, u AS (SELECT doc_id, line_no, {_key("line")} AS key FROM dl WHERE {_key("line")} <> ''),
+    w0 AS (SELECT doc_id, line_no, unnest(range(len(w)))::INT AS i, unnest(w) AS word FROM (SELECT doc_id, line_no, string_split({S.collapsed("line")}, ' ') AS w FROM dl WHERE {_key("line")} <> '')),
+    w1 AS (SELECT doc_id, line_no, i, word, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, i) AS k FROM w0),
+    w2 AS (SELECT doc_id, line_no, i, CASE WHEN doc_id % 9 = 1 AND k = 2 THEN reverse(word) ELSE word END AS word FROM w1 WHERE NOT (doc_id % 6 = 1 AND k = 3)
+           UNION ALL SELECT doc_id, max(line_no), 1000000, 'over' FROM w1 WHERE doc_id % 8 = 1 GROUP BY doc_id),
+    fr AS (SELECT doc_id, {_key("word")} AS key, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, i) AS k FROM w2),
+    fa AS (SELECT doc_id, string_agg(key, '' ORDER BY k) AS all_fragments FROM fr GROUP BY doc_id),
+    fe AS (SELECT doc_id, k, sum(length(key)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM fr),
+    ue AS (SELECT doc_id, line_no, key, sum(length(key)) OVER (PARTITION BY doc_id ORDER BY line_no) AS stop FROM u),
+    ok AS (SELECT ue.doc_id, bool_and(fe.k IS NOT NULL) AND any_value(fa.all_fragments) = string_agg(ue.key, '' ORDER BY line_no) AS fits
+           FROM ue LEFT JOIN fa ON fa.doc_id = ue.doc_id LEFT JOIN (SELECT doc_id, stop, max(k) AS k FROM fe GROUP BY ALL) fe ON fe.doc_id = ue.doc_id AND fe.stop = ue.stop GROUP BY ue.doc_id),
+    al AS (SELECT ue.doc_id, line_no, coalesce(fits, false) AS mapped, (SELECT 1) AS one, ue.stop - length(ue.key) AS start, ue.stop FROM ue JOIN ok USING (doc_id))
+    SELECT al.doc_id, line_no, mapped, CASE WHEN mapped THEN count(fe.k) END AS fragments FROM al LEFT JOIN fe ON mapped AND fe.doc_id = al.doc_id AND fe.stop > al.start AND fe.stop <= al.stop GROUP BY al.doc_id, line_no, mapped""")
 def q_fragment_map(spark: SparkSession, d: str) -> DataFrame:
-    """Fragments (here: words) against units (lines): how many fragments make up each unit, by running lengths of keys."""
+    """Fragments against units: how many make up each unit; a page whose fragments are other signs, too few or too many has none."""
     units = document_lines(spark, d).select("doc_id", "line_no", T.layout_key(C("line")).alias("key"), F.split(T.collapsed(C("line")), " ").alias("words")).where("key <> ''")
-    ends = Window.partitionBy("doc_id").orderBy("line_no")
-    units = units.withColumn("end", F.sum(F.length("key")).over(ends))
-    words = units.select("doc_id", "line_no", F.posexplode("words").alias("i", "word")).withColumn("end", F.sum(F.length(T.layout_key(C("word")))).over(Window.partitionBy("doc_id").orderBy("line_no", "i")))
-    counted = words.groupBy("doc_id", "line_no").agg(F.count("*").alias("fragments"), F.max("end").alias("word_end"))
-    return units.join(counted, ["doc_id", "line_no"]).select("doc_id", "line_no", "fragments", (C("word_end") == C("end")).alias("aligned"))
+    words = units.select("doc_id", "line_no", F.posexplode("words").alias("i", "word"))
+    words = words.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "i")))
+    over = words.where("doc_id % 8 = 1").groupBy("doc_id").agg(F.max("line_no").alias("line_no")).select("doc_id", "line_no", F.lit(1_000_000).alias("i"), F.lit("over").alias("word"))
+    kept = words.where("not (doc_id % 6 = 1 and k = 3)").select("doc_id", "line_no", "i", F.when((C("doc_id") % 9 == 1) & (C("k") == 2), F.reverse("word")).otherwise(C("word")).alias("word"))
+    return L.fragment_map(units.select("doc_id", "line_no", "key"), kept.unionByName(over).select("doc_id", "line_no", "i", T.layout_key(C("word")).alias("key")))
 
 
 @query(f"WITH {_B} SELECT page, box, x0 >= 0 AND x1 <= {W} + 0.01 AND {H} - bottom >= 0 AND {H} - top <= {H} + 0.01 AND x1 - x0 >= 3 AND bottom - top >= 4 AS valid FROM b")
