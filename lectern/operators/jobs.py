@@ -107,3 +107,38 @@ def grown_budgets(first: Column, limit: Column, attempts: int) -> Column:
         return F.when(grown > last, F.concat(a, F.array(grown))).otherwise(a)
 
     return F.aggregate(F.sequence(F.lit(2), F.lit(attempts)), F.array(first), step)
+
+
+def running(df: DataFrame, key: str, order: str, value: str, most: int = 1024) -> DataFrame:
+    """Adds before, the sum of value over the rows of key that come earlier in order (0, 1, 2, …).
+
+    Summed within buckets of `most` orders; only the buckets' sums are summed over a key, so a hot key is no hot task.
+    """
+    rows = df.withColumn("_b", F.expr(f"{order} div {most}"))
+    sums = rows.groupBy(key, "_b").agg(F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(key, "_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"))
+    own = F.sum(value).over(Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_w", F.coalesce(own, F.lit(0))).join(offsets, [key, "_b"]).withColumn("before", C("_w") + C("_o")).drop("_b", "_w", "_o")
+
+
+#: Version of the recognition caches that this engine reads.
+CACHE_VERSION = 1
+
+
+def cache_states(sources: DataFrame, caches: DataFrame) -> DataFrame:
+    """(source_id, valid) of every cache (source_id, version, size, mtime): it counts only for the file as it is now."""
+    now = sources.select("source_id", C("size").alias("_size"), C("mtime").alias("_mtime"))
+    same = (C("version") == CACHE_VERSION) & (C("size") == C("_size")) & (C("mtime") == C("_mtime"))
+    return caches.join(now, "source_id", "left").select(*caches.columns, F.coalesce(same, F.lit(False)).alias("valid"))
+
+
+def rewritten(results: DataFrame, edits: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Job results (output_name, content, …) after edits (output_name, new) and without the outputs in deleted."""
+    held = results.join(deleted.select("output_name").distinct(), "output_name", "left_anti")
+    return held.join(edits.select("output_name", "new"), "output_name", "left").withColumn("edited", C("new").isNotNull()).withColumn("content", F.coalesce("new", "content")).drop("new")
+
+
+def first_running(jobs: DataFrame) -> DataFrame:
+    """(kind, job_id): the first job of each kind that runs."""
+    return jobs.where("status = 'running'").groupBy(F.coalesce("kind", F.lit("document")).alias("kind")).agg(F.min_by("job_id", F.struct("created_at", "job_id")).alias("job_id"))

@@ -224,3 +224,9 @@ def fragment_map(units: DataFrame, fragments: DataFrame) -> DataFrame:
     met = met.join(pages, "doc_id").withColumn("mapped", C("spelled") & (F.count("k").over(page) == F.count("*").over(page)))
     n = C("k") - F.coalesce(F.lag("k").over(page.orderBy("line_no")), F.lit(0))
     return met.select("doc_id", "line_no", "mapped", F.when(C("mapped"), n).cast("long").alias("fragments"))
+
+
+def positional(rows: DataFrame, boxes: DataFrame, page: str, order: str) -> DataFrame:
+    """Rows and boxes (page, order, …) of a page side by side by their order, and only where both have as many."""
+    counts = rows.groupBy(page).agg(F.count("*").alias("_n")).join(boxes.groupBy(page).agg(F.count("*").alias("_m")), page).where("_n = _m").select(page)
+    return rows.join(boxes, [page, order]).join(counts, page, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import jobs as J
 from ..operators import units as U
-from ..sources.tables import file_lines, files, lines, table, texts
+from ..sources.tables import document_lines, file_lines, files, lines, table, texts
 from . import sql as S
 
 QUERIES: dict = {}
@@ -125,10 +125,13 @@ def q_job_text_chars(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("job_id").agg(F.sum(each).alias("chars"))
 
 
-@query(f"WITH {S.FILES} SELECT job_id, lower(substr(name, 1, 4)) AS key, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 1")
+_FOLD = "replace(lower(name), 'ß', 'ss')"
+
+
+@query(f"WITH {S.FILES} SELECT job_id, {_FOLD} AS key, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 1")
 def q_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names of one job that collide regardless of case; here by their first four letters, since whole names are unique."""
-    return files(spark, d, "job_id", "name").groupBy("job_id", F.lower(F.substring("name", 1, 4)).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    """Names of one job that collide regardless of case."""
+    return files(spark, d, "job_id", "name").groupBy("job_id", F.expr(_FOLD).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query(rf"""WITH {S.FILES}, v AS (SELECT file_id, ext, lower({S.strip("coalesce(source_format, '')")}) AS fmt, name, content FROM nf)
@@ -136,10 +139,14 @@ def q_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT file_id, 'suffix' FROM v WHERE ext NOT IN ('.md', '.markdown', '.txt', '.text', '.srt', '.vtt', '.docx', '.epub', '.pdf')
     UNION ALL SELECT file_id, 'path' FROM v WHERE name IS NULL OR name = '' OR contains(name, '/') OR contains(name, '\')
     UNION ALL SELECT file_id, 'empty' FROM v WHERE {S.strip("coalesce(content, '')")} = ''
+    UNION ALL SELECT file_id, 'twice' FROM (SELECT file_id, count(*) OVER (PARTITION BY job_id, {_FOLD}) AS n FROM f WHERE name IS NOT NULL) WHERE n > 1
     UNION ALL SELECT DISTINCT r.file_id, 'resume' FROM resume_lines r LEFT JOIN f USING (file_id) WHERE f.file_id IS NULL OR r.line_no < 0
         OR r.line_no >= len(string_split(coalesce(f.content, ''), chr(10)))""")
 def q_request_violations(spark: SparkSession, d: str) -> DataFrame:
-    df = files(spark, d, "name", "source_format", "content").withColumn("fmt", F.lower(T.strip(F.coalesce("source_format", F.lit(""))))).withColumn("ext", T.extension(C("name")))
+    every = files(spark, d, "job_id", "name", "source_format", "content")
+    folded = every.where("name is not null").select("file_id", "job_id", F.expr(_FOLD).alias("key"))
+    twice = folded.groupBy("job_id", "key").agg(F.count("*").alias("n")).where("n > 1").join(folded, ["job_id", "key"])
+    df = every.drop("job_id").withColumn("fmt", F.lower(T.strip(F.coalesce("source_format", F.lit(""))))).withColumn("ext", T.extension(C("name")))
     rules = {
         "format": ~C("fmt").isin("", "text") & (F.concat(F.lit("."), C("fmt")) != C("ext")),
         "suffix": ~C("ext").isin(".md", ".markdown", ".txt", ".text", ".srt", ".vtt", ".docx", ".epub", ".pdf"),
@@ -149,7 +156,7 @@ def q_request_violations(spark: SparkSession, d: str) -> DataFrame:
     broken = df.select("file_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("rule"))
     counts = df.select("file_id", F.size(F.split(F.coalesce("content", F.lit("")), "\n")).alias("n"))
     resume = table(spark, d, "resume_lines").join(counts, "file_id", "left").where("n is null or line_no < 0 or line_no >= n")
-    return broken.unionByName(resume.select("file_id", F.lit("resume").alias("rule")).distinct())
+    return broken.unionByName(twice.select("file_id", F.lit("twice").alias("rule"))).unionByName(resume.select("file_id", F.lit("resume").alias("rule")).distinct())
 
 
 @query("""SELECT choice_id, attempt, unnest(range(attempt)) AS failure, least(20.0::DOUBLE, 1.5::DOUBLE * pow(2, unnest(range(attempt)))) AS delay
@@ -406,13 +413,6 @@ def q_cumulative_preview(spark: SparkSession, d: str) -> DataFrame:
     return df.select("choice_id", "attempt", F.posexplode("p").alias("i", "_"), "p").select("choice_id", "attempt", (C("i") + 1).cast("long").alias("delta"), F.array_join(F.slice("p", F.lit(1), C("i") + 1), "").alias("preview"))
 
 
-@query("""SELECT output_name, coalesce(pdf_page_count, 0) > 1000 AS too_many_pages, length(coalesce(preview_content, '')) >= 1048576 AS large,
-    length(coalesce(preview_content, '')) > 1000 * greatest(1, length(output_name)) AS bomb FROM output_index""")
-def q_zip_guard(spark: SparkSession, d: str) -> DataFrame:
-    size = F.length(F.coalesce("preview_content", F.lit("")))
-    return table(spark, d, "output_index").select("output_name", (F.coalesce("pdf_page_count", F.lit(0)) > 1000).alias("too_many_pages"), (size >= 1048576).alias("large"), (size > 1000 * F.greatest(F.lit(1), F.length("output_name"))).alias("bomb"))
-
-
 @query(f"""WITH {_INDEX}, {S.FILES} SELECT x.output_name, CASE WHEN x.source_format = 'pdf' THEN x.preview_content ELSE coalesce(x.preview_content, {S.normalized("f.translated_content")}) END AS preview
     FROM x LEFT JOIN f ON f.name = x.source_name AND f.source_sha256 = x.source_sha256""")
 def q_output_preview(spark: SparkSession, d: str) -> DataFrame:
@@ -445,6 +445,103 @@ def q_mode_normalize(spark: SparkSession, d: str) -> DataFrame:
 def q_event_frames(spark: SparkSession, d: str) -> DataFrame:
     """Events as server-sent frames; the last one of a job is followed by a closing comment."""
     e = _events(spark, d).select("job_id", "seq", "kind")
-    ends = table(spark, d, "job_events").groupBy("job_id").agg(F.max("seq").alias("last"))
-    frame = F.concat(F.lit("data: "), F.to_json(F.struct("kind", "seq")), F.lit("\n\n"), F.when(C("seq") == C("last"), ": end\n\n").otherwise(""))
-    return e.join(ends, "job_id").select("job_id", "seq", frame.alias("frame"))
+    # One row a job meets its events by (job_id, seq), which no job makes hot.
+    ends = table(spark, d, "job_events").groupBy("job_id").agg(F.max("seq").alias("seq")).withColumn("last", F.lit(True))
+    frame = F.concat(F.lit("data: "), F.to_json(F.struct("kind", "seq")), F.lit("\n\n"), F.when(C("last"), ": end\n\n").otherwise(""))
+    return e.join(ends, ["job_id", "seq"], "left").select("job_id", "seq", frame.alias("frame"))
+
+
+@query(f"""WITH x AS (SELECT DISTINCT output_name, written_at, length(coalesce(preview_content, '')) AS size, coalesce(pdf_page_count, 0) % 2 AS version FROM output_index), {_INDEX.replace("x AS", "nx AS", 1)}
+    SELECT x.output_name AS source_id, x.version::INT AS version, x.size, x.written_at AS mtime, coalesce(x.version = 1 AND x.size = length(coalesce(nx.preview_content, '')) AND x.written_at = nx.written_at, false) AS valid
+    FROM x LEFT JOIN nx USING (output_name)""")
+def q_ocr_cache_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Recognition caches against the files as they are: every write of an output stands for a cache, the last for the file."""
+    index = table(spark, d, "output_index")
+    size = F.length(F.coalesce("preview_content", F.lit("")))
+    now = J.upserted(index).select(C("output_name").alias("source_id"), size.alias("size"), C("written_at").alias("mtime"))
+    caches = index.select(C("output_name").alias("source_id"), (F.coalesce("pdf_page_count", F.lit(0)) % 2).cast("int").alias("version"), size.alias("size"), C("written_at").alias("mtime")).distinct()
+    return J.cache_states(now, caches)
+
+
+@query(f"""WITH {_INDEX}, {S.FILES}, r AS (SELECT job_id, name AS output_name, translated_content AS content FROM f WHERE translated_content IS NOT NULL)
+    SELECT job_id, r.output_name, sha256(coalesce(x.preview_content, r.content)) AS digest, x.preview_content IS NOT NULL AS edited
+    FROM r LEFT JOIN x ON x.source_name = r.output_name WHERE NOT coalesce(x.target_language = '日文', false)""")
+def q_job_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results of jobs after the index: a stored preview is an edit of the output, an index entry in Japanese a deletion."""
+    index = J.upserted(table(spark, d, "output_index")).select(C("source_name").alias("output_name"), "preview_content", "target_language")
+    results = files(spark, d, "job_id", "name", "translated_content").where("translated_content is not null").select("job_id", C("name").alias("output_name"), C("translated_content").alias("content"))
+    out = J.rewritten(results, index.where("preview_content is not null").select("output_name", C("preview_content").alias("new")), index.where("target_language = '日文'"))
+    return out.select("job_id", "output_name", F.sha2("content", 256).alias("digest"), "edited")
+
+
+@query("SELECT coalesce(kind, 'document') AS kind, arg_min(job_id, (created_at, job_id)) AS job_id FROM jobs WHERE status = 'running' GROUP BY 1")
+def q_running_job(spark: SparkSession, d: str) -> DataFrame:
+    return J.first_running(table(spark, d, "jobs"))
+
+
+@query(f"""WITH {S.UNITS}, jb AS (SELECT DISTINCT job_id, status, coalesce(done, 0) AS done FROM jobs),
+    n AS (SELECT file_id, count_if(translate) AS n FROM u GROUP BY ALL),
+    o AS (SELECT f.file_id, f.job_id, translated_content IS NULL AS failed, coalesce(n.n, 0) AS n, row_number() OVER (PARTITION BY f.job_id ORDER BY idx, f.file_id) - 1 AS turn FROM f LEFT JOIN n ON n.file_id = f.file_id),
+    k AS (SELECT o.*, status, CASE WHEN status = 'interrupted' AND turn > done THEN 0 WHEN status = 'interrupted' AND turn = done THEN 1 WHEN failed THEN 3 ELSE 3 * n + 4 END AS size FROM o JOIN jb USING (job_id)),
+    b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY job_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM k),
+    lu AS (SELECT b.job_id, b.file_id, base, line_no, row_number() OVER (PARTITION BY b.file_id ORDER BY line_no) AS i FROM b JOIN u ON u.file_id = b.file_id AND u.translate WHERE size = 3 * n + 4 AND NOT failed AND size > 1),
+    ev AS (SELECT job_id, base + 1 AS seq, 'progress' AS kind, file_id, NULL::BIGINT AS line_no, turn AS done FROM b WHERE size > 0
+           UNION ALL SELECT job_id, base + 2, 'file_progress', file_id, NULL, 0 FROM b WHERE size > 3
+           UNION ALL SELECT job_id, base + 3 * i, 'chunk', file_id, line_no, NULL FROM lu
+           UNION ALL SELECT job_id, base + 3 * i + 1, 'line_done', file_id, line_no, NULL FROM lu
+           UNION ALL SELECT job_id, base + 3 * i + 2, 'file_progress', file_id, NULL, i FROM lu
+           UNION ALL SELECT job_id, base + size - 1, CASE WHEN failed THEN 'fail' ELSE 'file_done' END, file_id, NULL, NULL FROM b WHERE size > 1
+           UNION ALL SELECT job_id, base + size, 'overall_progress', file_id, NULL, turn + 1 FROM b WHERE size > 1
+           UNION ALL SELECT job_id, sum(size) + 1, CASE WHEN any_value(status) = 'interrupted' THEN 'interrupted' ELSE 'done' END, NULL, NULL, NULL FROM b WHERE status <> 'running' GROUP BY job_id)
+    SELECT job_id, seq::BIGINT AS seq, kind, file_id, line_no, done::BIGINT AS done FROM ev""")
+def q_job_events(spark: SparkSession, d: str) -> DataFrame:
+    """All nine kinds of events that the run of each job writes, in order. A file without an answer fails; an interrupted
+    job stops while its next file is at work; a running one has no end yet."""
+    jobs = _jobs(spark, d).select("job_id", "status", F.coalesce("done", F.lit(0)).alias("stop")).distinct()
+    units = U.translatable(U.document_units(file_lines(spark, d))).select("file_id", "line_no", (C("position") + 1).cast("long").alias("i"))
+    own = files(spark, d, "job_id", "idx", C("translated_content").isNull().alias("failed")).withColumn("first", F.lit(False))
+    order = J.turns(own, 1024).withColumn("turn", C("turn").cast("long") - 1)
+    order = order.join(units.groupBy("file_id").agg(F.count("*").alias("n")), "file_id", "left").fillna(0, ["n"]).join(jobs, "job_id")
+    stopped = C("status") == "interrupted"
+    size = F.when(stopped & (C("turn") > C("stop")), 0).when(stopped & (C("turn") == C("stop")), 1).when(C("failed"), 3).otherwise(3 * C("n") + 4)
+    b = J.running(order.withColumn("size", size.cast("long")), "job_id", "turn", "size")
+    none = F.lit(None).cast("long")
+
+    def event(seq, kind, line_no=none, done=none):
+        return F.struct(seq.cast("long").alias("seq"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), line_no.cast("long").alias("line_no"), done.cast("long").alias("done"))
+
+    base, n = C("before"), C("size")
+    frame = F.array(
+        F.when(n > 0, event(base + 1, "progress", done=C("turn"))), F.when(n > 3, event(base + 2, "file_progress", done=F.lit(0))),
+        F.when(n > 1, event(base + n - 1, F.when(C("failed"), "fail").otherwise("file_done"))), F.when(n > 1, event(base + n, "overall_progress", done=C("turn") + 1)),
+    )
+    around = b.select("job_id", "file_id", F.explode(F.array_compact(frame)).alias("e"))
+    at = base + 3 * C("i")
+    each = F.array(event(at, "chunk", C("line_no")), event(at + 1, "line_done", C("line_no")), event(at + 2, "file_progress", done=C("i")))
+    inside = b.where("size > 3").join(units, "file_id").select("job_id", "file_id", F.explode(each).alias("e"))
+    last = b.where("status <> 'running'").groupBy("job_id").agg((F.sum("size") + 1).alias("seq"), F.any_value(F.when(stopped, "interrupted").otherwise("done")).alias("kind"))
+    ends = last.select("job_id", F.lit(None).cast("long").alias("file_id"), event(C("seq"), C("kind")).alias("e"))
+    return around.unionByName(inside).unionByName(ends).select("job_id", "e.seq", "e.kind", "file_id", "e.line_no", "e.done")
+
+
+@query(f"""WITH {S.DOCS}, p AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM dl WHERE {S.strip("line")} <> ''),
+    n AS (SELECT dn.doc_id, count(p.i) AS n FROM dn LEFT JOIN p USING (doc_id) GROUP BY ALL)
+    SELECT doc_id, 0::BIGINT AS seq, 'dialog_progress' AS kind, NULL::BIGINT AS line_no, 0::BIGINT AS done, n AS total FROM n
+    UNION ALL SELECT doc_id, 2 * i - 1, 'dialog_chunk', line_no, NULL, NULL FROM p
+    UNION ALL SELECT doc_id, 2 * i, 'dialog_progress', NULL, i, n FROM p JOIN n USING (doc_id)
+    UNION ALL SELECT doc_id, 2 * n + 1, 'dialog_done', NULL, NULL, NULL FROM n UNION ALL SELECT doc_id, 2 * n + 2, 'done', NULL, NULL, 1 FROM n""")
+def q_dialog_events(spark: SparkSession, d: str) -> DataFrame:
+    """A text as a dialog: plain units, no output, events of its own kinds."""
+    lines_ = document_lines(spark, d).withColumn("worded", T.strip(C("line")) != "")
+    whole = Window.partitionBy("doc_id")
+    p = lines_.select("doc_id", "line_no", "worded", F.count_if("worded").over(whole.orderBy("line_no")).alias("i"), F.count_if("worded").over(whole).alias("n"))
+    none = F.lit(None).cast("long")
+
+    def event(seq, kind, line_no=none, done=none, total=none):
+        return F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), line_no.cast("long").alias("line_no"), done.cast("long").alias("done"), total.cast("long").alias("total"))
+
+    i, n = C("i"), C("n")
+    each = F.array(event(2 * i - 1, "dialog_chunk", C("line_no")), event(2 * i, "dialog_progress", done=i, total=n))
+    around = F.array(event(F.lit(0), "dialog_progress", done=F.lit(0), total=n), event(2 * n + 1, "dialog_done"), event(2 * n + 2, "done", total=F.lit(1)))
+    ends = p.where("line_no = 0").select("doc_id", F.explode(around).alias("e"))
+    return p.where("worded").select("doc_id", F.explode(each).alias("e")).unionByName(ends).select("doc_id", "e.*")

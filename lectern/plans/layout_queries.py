@@ -380,3 +380,15 @@ def q_ocr_scale(spark: SparkSession, d: str) -> DataFrame:
     light = C("g") * 0.2126 + C("g") * 0.7152 + C("g") * 0.0722
     return b.select("page", "box", F.round(F.greatest(F.lit(0.0), C("pl") / (2 * W) * W), 6).alias("x0"), F.round(F.least(F.lit(W), C("pr") / (2 * W) * W), 6).alias("x1"), F.round(F.greatest(F.lit(0.0), C("pt") / (2 * H) * H), 6).alias("top"),
                     F.round(F.least(F.lit(H), C("pb") / (2 * H) * H), 6).alias("bottom"), F.when(light >= 0.55, "dark").otherwise("light").alias("ink"), F.round(F.greatest(F.lit(5.5), F.least(F.lit(72.0), (C("pb") - C("pt")) / 2 * 0.72)), 6).alias("size"))
+
+
+@query(rf"""WITH {S.DOCS}, {_B}, r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS row_no, {S.collapsed("line")} AS title FROM dl WHERE {S.strip("line")} <> ''),
+    x AS (SELECT page AS doc_id, row_number() OVER (PARTITION BY page ORDER BY top, box) - 1 AS row_no, x0, x1, top, bottom FROM b),
+    n AS (SELECT doc_id FROM (SELECT doc_id, count(*) AS n FROM r GROUP BY ALL) JOIN (SELECT doc_id, count(*) AS m FROM x GROUP BY ALL) USING (doc_id) WHERE n = m)
+    SELECT doc_id, row_no, title, x0, x1, top, bottom FROM r JOIN x USING (doc_id, row_no) WHERE doc_id IN (SELECT doc_id FROM n)""")
+def q_toc_join(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a contents page (here a document's lines) with the boxes of their lines, where a page has as many of both."""
+    lines = document_lines(spark, d).where(T.strip(C("line")) != "")
+    rows = lines.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1).alias("row_no"), T.collapsed(C("line")).alias("title"))
+    boxes = _boxes(spark, d).select(C("page").alias("doc_id"), (F.row_number().over(Window.partitionBy("page").orderBy("top", "box")) - 1).alias("row_no"), "x0", "x1", "top", "bottom")
+    return L.positional(rows, boxes, "doc_id", "row_no")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parts import shares
+from ..functions.text import extension
 
 MOST_MEMBERS, MOST_RATIO, RATIO_FROM = 5000, 1000, 1 << 20
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main "
@@ -369,3 +370,24 @@ def packed_containers(df: DataFrame, key: str, units: str, form: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "content"])
 
     return df.select(F.col(key).cast("long").alias("key"), units).mapInArrow(run, "key long, content binary")
+
+
+def xhtml_state(data: bytes) -> str:
+    """xml: well formed as it is; spelled: after its named entities are spelled out; rejected: not at all."""
+    for state, body in (("xml", data), ("spelled", re.sub(rb"&([A-Za-z][A-Za-z0-9]+);", _named, data))):
+        try:
+            BookReader(body)
+            return state
+        except expat.ExpatError:
+            continue
+    return "rejected"
+
+
+def units_by_format(df: DataFrame, key: str, name: str, content: str) -> DataFrame:
+    """container_units of rows of any format, read as their names' suffixes say; a suffix without a reader gives an error row."""
+    suffix = extension(F.col(name))
+    rows = df.select(F.col(key).cast("long").alias("key"), suffix.alias("suffix"), F.col(content).alias("content"))
+    read = [container_units(rows.where(F.col("suffix") == f".{form}"), "key", "content", form) for form in ("docx", "epub")]
+    other = rows.where(~F.coalesce(F.col("suffix").isin(".docx", ".epub"), F.lit(False)))
+    missing = (F.lit(None).cast(f.dataType).alias(f.name) for f in read[0].schema.fields[1:-1])
+    return read[0].unionByName(read[1]).unionByName(other.select("key", *missing, F.concat(F.lit("no reader for "), F.coalesce("suffix", F.lit(""))).alias("error")))

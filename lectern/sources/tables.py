@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, normalized
@@ -18,7 +18,7 @@ def balanced(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
-def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
     """Files, each once however often delivered: deliveries of one file differ in received_at only."""
     df = table(spark, sf_dir, "files")
     return df.select("file_id", *columns).dropDuplicates(["file_id"])
