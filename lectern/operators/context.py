@@ -158,6 +158,14 @@ def with_context(units: DataFrame, key: str, size: int, before: int = 2, after:
     return units.withColumn("context_before", F.array_join(F.reverse(capped(F.reverse(past), cap_before)), "\n\n")).withColumn("context_after", F.array_join(capped(F.transform(coming, T.strip), cap_after), "\n\n"))
 
 
+def with_future(requests: DataFrame, key: str, size: int, after: int = 2) -> DataFrame:
+    """Adds context_after to requests (key, line_no, piece, unit): the next pieces, of the same line or of the lines after
+    it, whole ones while the token cap allows."""
+    order = Window.partitionBy(key).orderBy("line_no", "piece")
+    coming = F.collect_list("unit").over(order.rowsBetween(1, after)) if after > 0 else F.array().cast("array<string>")
+    return requests.withColumn("context_after", F.array_join(capped(F.transform(coming, T.strip), T.context_caps(size)[1]), "\n\n"))
+
+
 def prompt(
     text: Column, before: Column, after: Column, mode: Column, source: Column, target: Column,
     reference: Column | None = None, kind: Column | None = None, again: Column | None = None, old: Column | None = None,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +57,26 @@ def turns(files: DataFrame, most: int = 1024) -> DataFrame:
     return df.withColumn("own", own).join(offsets, ["job_id", *order]).withColumn("turn", C("own") + C("offset")).drop("own", "offset", *order)
 
 
-def retained(sizes: Column, most: int, most_chars: int) -> Column:
-    """Fold over array<struct(id, chars)> from the newest: what is kept. A job too large is skipped, not a stop."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<string>").alias("ids"))
+def retained(jobs: DataFrame, most: int, most_chars: int) -> DataFrame:
+    """(job_id) of jobs (job_id, at, chars) that stay: from the newest while count and characters allow. A job too large is
+    skipped, not a stop.
 
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["n"] < most) & ((a["n"] == 0) | (a["chars"] + x["chars"] <= most_chars))
-        return F.when(fits, F.struct((a["n"] + 1).alias("n"), (a["chars"] + x["chars"]).alias("chars"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a)
+    What is kept depends on what was kept before, so one task streams over the sorted numbers; it holds three of them.
+    """
 
-    return F.aggregate(sizes, start, step)["ids"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = chars = 0
+        for batch in batches:
+            kept = []
+            for job, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if n < most and (not n or chars + size <= most_chars):
+                    kept.append(job)
+                    n, chars = n + 1, chars + size
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["job_id"])
+            if n == most:
+                return
+
+    return jobs.repartition(1).sortWithinPartitions(F.desc("at"), "job_id").select("job_id", "chars").mapInArrow(run, "job_id string")
 
 
 def page_selection(selection: Column, count: Column) -> Column:

@@ -52,9 +52,15 @@ def q_context_before(spark: SparkSession, d: str) -> DataFrame:
     return X.with_context(_units(spark, d), "file_id", SIZE).select("file_id", "line_no", "context_before")
 
 
-@query(f"WITH {_T}, {_BEFORE}, {_AFTER} SELECT file_id, line_no, context_after FROM ca")
+_NEXT = f"""nx AS (SELECT *, {S.strip("lead(unit, 1) OVER w")} AS n1, {S.strip("lead(unit, 2) OVER w")} AS n2 FROM pc WINDOW w AS (PARTITION BY file_id ORDER BY line_no, piece))"""
+
+
+@query(f"""WITH RECURSIVE {_T}, {S.pieces("t", "file_id, line_no", T.unit_limit(SIZE))}, {_NEXT}
+    SELECT file_id, line_no, piece, CASE WHEN n1 IS NULL OR {S.tokens("n1")} > {_CAP_AFTER} THEN '' WHEN n2 IS NULL OR {S.tokens("n1")} + {S.tokens("n2")} > {_CAP_AFTER} THEN n1 ELSE n1 || chr(10) || chr(10) || n2 END AS context_after FROM nx""")
 def q_context_after(spark: SparkSession, d: str) -> DataFrame:
-    return X.with_context(_units(spark, d), "file_id", SIZE).select("file_id", "line_no", "context_after")
+    """What follows every request, piece by piece."""
+    df = X.semantic_units(_units(spark, d).select("file_id", "line_no", "text"), "text", SIZE)
+    return X.with_future(df.select("file_id", "line_no", F.posexplode("pieces").alias("piece", "unit")), "file_id", SIZE).select("file_id", "line_no", "piece", "context_after")
 
 
 _EDGE = rf"coalesce(line_no - lag(line_no) OVER (PARTITION BY file_id ORDER BY line_no) > 1, true) OR regexp_matches(line, '^{S.WS}{{0,3}}#{{1,6}}[ \t]+')"

@@ -108,14 +108,13 @@ _TTL_DAYS, _MOST, _CHARS = 60, 50, 60_000
 def q_retention(spark: SparkSession, d: str) -> DataFrame:
     """Finished jobs that stay: young enough, then from the newest while count and characters allow.
 
-    The fold reads the jobs of the retention time only; that bounds it, however long the history is.
+    Only jobs of the retention time are read, however long the history is.
     """
     jobs = _jobs(spark, d).where("status <> 'running'").select("job_id", F.coalesce("finished_at", "created_at").alias("at")).distinct()
     newest = jobs.agg(F.max("at")).first()[0]  # one value
     young = jobs.where(C("at") >= F.lit(newest) - F.expr(f"interval {_TTL_DAYS} days"))
     sizes = files(spark, d, "job_id", "translated_content").groupBy("job_id").agg(F.sum(F.length(F.coalesce("translated_content", F.lit("")))).alias("chars"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("at").cast("timestamp"))).alias("at"), C("job_id").alias("id"), F.coalesce("chars", F.lit(0)).alias("chars")))), lambda x: F.struct(x["id"].alias("id"), x["chars"].alias("chars")))
-    return young.join(sizes, "job_id", "left").agg(ordered.alias("s")).select(F.explode(J.retained(C("s"), _MOST, _CHARS)).alias("job_id"))
+    return J.retained(young.join(sizes, "job_id", "left").select("job_id", "at", F.coalesce("chars", F.lit(0)).alias("chars")), _MOST, _CHARS)
 
 
 @query(f"WITH {S.FILES} SELECT job_id, sum(length(coalesce(content, '')) + length(coalesce(translated_content, '')) + length(coalesce(name, '')))::BIGINT AS chars FROM f GROUP BY ALL")

@@ -127,7 +127,7 @@ def pieces(source: str, keys: str, limit: int) -> str:
                        FROM (SELECT *, place + greatest(1, room // 2) AS low, substr(text, place + greatest(1, room // 2) + 1, room + 1 - greatest(1, room // 2)) AS seg
                              FROM (SELECT *, greatest(1, (near - place) * {limit} // {tokens("substr(text, place + 1, near - place)")}) AS room
                                    FROM (SELECT *, list_min(list_filter(ends, lambda e: e > place)) AS near,
-                                                list_max(list_filter(ends, lambda e: e > place AND {tokens("substr(text, place + 1, e - place)")} <= {limit})) AS fit
+                                                list_max(list_filter(list_filter(ends, lambda e: e > place AND e <= place + {4 * limit}), lambda e: {tokens("substr(text, place + 1, e - place)")} <= {limit})) AS fit
                                          FROM lr WHERE place < length(text))))))),
     pc AS (SELECT {keys}, 0 AS piece, text AS unit FROM {source} WHERE {tokens("text")} <= {limit}
            UNION ALL SELECT {keys}, piece - 1, unit FROM lr WHERE unit <> '')"""

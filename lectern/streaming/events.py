@@ -6,6 +6,7 @@ location goes on where it was.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -47,8 +48,11 @@ def bounded_tail(events: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, else a folder for tests on one machine."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lectern-checkpoints"
+    """spark.checkpoint.dir of the session. Only a local master may leave it unset."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="lectern-")
 
 
 def run_available(out: DataFrame, keys: list[str], order: list[str], location: str | None = None) -> DataFrame:

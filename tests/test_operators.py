@@ -70,8 +70,8 @@ def test_page_selection(spark):
 
 
 def test_retention_skips_what_is_too_large(spark):
-    df = spark.createDataFrame([([("a", 10), ("b", 10), ("c", 2)],)], "s array<struct<id: string, chars: int>>")
-    assert df.select(J.retained(F.col("s"), 50, 12).alias("x")).first().x == ["a", "c"]
+    df = spark.createDataFrame([("a", 3, 10), ("b", 2, 10), ("c", 1, 2)], "job_id string, at int, chars long")
+    assert [r.job_id for r in J.retained(df, 50, 12).collect()] == ["a", "c"]
 
 
 def test_reading_order_of_two_columns(spark):
@@ -263,3 +263,110 @@ def test_reference_windows_are_trimmed(spark):
         for budget in (200, 60, 45, 30, 20, 12, 5):
             got = df.select(X.trimmed(F.col("u"), F.lit(first), F.lit(last), 2, 2, budget).alias("x")).first().x
             assert got == loop(rows[0], first, last, budget), (first, last, budget)
+
+
+def test_names_that_collide_in_one_job(spark, tmp_path):
+    from lectern.plans.catalogue import QUERIES
+
+    rows = [(1, "j", "Straße.md"), (2, "j", "STRASSE.md"), (3, "j", "other.md"), (4, "k", "straße.md"), (5, "j", None), (6, "j", None)]
+    df = spark.createDataFrame(rows, "file_id long, job_id string, name string").withColumn("source_format", F.lit("md")).withColumn("content", F.lit("x"))
+    df.write.parquet(str(tmp_path / "files.parquet"))
+    spark.createDataFrame([], "file_id long, line_no int, text string").write.parquet(str(tmp_path / "resume_lines.parquet"))
+    assert [tuple(r) for r in QUERIES["q_duplicate_names"](spark, str(tmp_path)).collect() if r.key] == [("j", "strasse.md", 2)]
+    assert sorted(r.file_id for r in QUERIES["q_request_violations"](spark, str(tmp_path)).where("rule = 'twice'").collect()) == [1, 2]
+
+
+def test_index_over_itself_and_cleared(spark, tmp_path):
+    from lectern.sinks.files import clear_index, write_index
+
+    path = str(tmp_path / "index")
+    schema = "output_name string, source_sha256 string, source_name string, written_at int"
+    write_index(spark.createDataFrame([("a", "1", "x", 1), ("b", "2", "y", 1)], schema), spark.createDataFrame([], schema), path)
+    write_index(spark.read.parquet(path), spark.createDataFrame([("a", "3", "x", 2), ("c", "4", "z", 2)], schema), path)
+    assert sorted((r.output_name, r.source_sha256) for r in spark.read.parquet(path).collect()) == [("a", "3"), ("b", "2"), ("c", "4")]
+    assert clear_index(spark, path) == 3 and clear_index(spark, path) == 0
+
+
+def test_cached_source_is_whole_or_not_there(tmp_path):
+    from lectern.sinks.files import cache_source, delete_source
+
+    folder = tmp_path / "cache"
+    source, digest = cache_source(str(folder), "a.DOCX", b"data")
+    assert (folder / source).read_bytes() == b"data" and source.endswith(".docx") and len(digest) == 64
+    (folder / f"{source}.ocr.json").write_text("{}")
+
+    def fail():
+        raise OSError("disk")
+
+    with pytest.raises(OSError):
+        cache_source(str(folder), "b.pdf", b"data", fail)
+    assert sorted(x.name for x in folder.iterdir()) == [source, f"{source}.ocr.json"]
+    assert delete_source(str(folder), source) and not delete_source(str(folder), source) and not list(folder.iterdir())
+    for name, data in (("a.txt", b"x"), ("a.pdf", b"")):
+        with pytest.raises(ValueError):
+            cache_source(str(folder), name, data)
+    with pytest.raises(ValueError):
+        delete_source(str(folder), "../a.pdf")
+
+
+def test_archive_takes_what_came_out_well(spark):
+    from lectern.sinks.files import finished
+
+    rows = spark.createDataFrame([("j", "a", "1", "ok"), ("j", "b", "2", "error"), ("j", "c", "3", "ok")], "job_id string, output_name string, content string, status string")
+    disk = spark.createDataFrame([("c", "edited"), ("d", "x")], "output_name string, content string")
+    assert sorted(tuple(r) for r in finished(rows, disk).collect()) == [("j", "a", "1"), ("j", "c", "edited")]
+    assert finished(rows).count() == 2
+
+
+def test_transport_failures_are_tried_again():
+    from lectern.operators import pipeline as P
+
+    waits, calls = [], iter([TimeoutError("late"), P.ServiceError(503, 90.0), ConnectionError("gone"), ("done", "stop")])
+
+    def model(prompt, size):
+        x = next(calls)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert P.complete(model, "p", 100, 1000, 5, waits.append) == "done" and waits == [1.5, 60.0, 6.0]
+    for error in (P.ServiceError(400), P.LengthError("long")):
+        calls = iter([error])
+        with pytest.raises(type(error)):
+            P.complete(model, "p", 100, 1000, 5, waits.append)
+
+
+def test_checkpoint_with_two_texts_for_a_line_is_asked_again(spark):
+    from lectern.operators import pipeline as P
+
+    df = spark.createDataFrame([(1, "One.\nTwo.", "a.txt")], "file_id long, t string, name string").withColumn("ext", T.extension(F.col("name")))
+    resume = spark.createDataFrame([(1, 0, "A"), (1, 0, "B"), (1, 1, "C"), (1, 1, "C")], "file_id long, line_no int, text string")
+    rows = P.translate_units(U.document_units(lines(df, "file_id", "ext")), P.stub_model, resume=resume).collect()
+    assert sorted((r.line_no, r.out, r.resumed) for r in rows) == [(0, "译：One.", False), (1, "C", True)]
+
+
+def test_heading_starts_a_block(spark):
+    rows = [(1, 0, 0, 0, "first words of text", 40.0, 300.0, 10.0, 20.0), (1, 0, 0, 1, "CHAPTER TWO", 40.0, 300.0, 22.0, 32.0), (1, 0, 0, 2, "and more-", 40.0, 300.0, 34.0, 44.0), (1, 0, 0, 3, "over text", 41.0, 310.0, 46.0, 56.0), (1, 0, 1, 0, "next column", 340.0, 500.0, 48.0, 58.0), (2, 0, 0, 0, "next page", 40.0, 300.0, 58.0, 68.0)]
+    df = spark.createDataFrame(rows, 'page long, region int, column int, position int, text string, x0 double, x1 double, top double, bottom double')
+    got = sorted((r.page, r.block, r.text, r.n) for r in L.ocr_blocks(df, 600.0, 800.0).collect())
+    # What follows a heading closely joins it; the heading itself joins nothing.
+    assert got == [(1, 0, "first words of text", 1), (1, 1, "CHAPTER TWO and moreover text", 3), (1, 2, "next column", 1), (2, 0, "next page", 1)]
+
+
+def test_running_sums_in_buckets_and_blocks(spark):
+    df = spark.createDataFrame([(k, i, i % 3) for k, n in (("a", 40), ("b", 1)) for i in range(n)], "k string, i long, v long")
+    got = {(r.k, r.i): r.before for r in J.running(df, "k", "i", "v", 7).collect()}
+    assert got == {(k, i): sum(j % 3 for j in range(i)) for k, i in got} and len(got) == 41
+    for n in (0, 1, 7, 8, 30):
+        a = spark.createDataFrame([(list(range(n)),)], "a array<int>").select(T.running(F.col("a"), 7).alias("s")).first().s
+        assert a == [sum(range(i)) for i in range(n + 1)]
+
+
+def test_retention_skips_a_job_too_large(spark):
+    jobs = spark.createDataFrame([("a", 5, 80), ("b", 4, 30), ("c", 3, 20), ("d", 2, 1), ("e", 1, 0)], "job_id string, at int, chars long")
+    assert sorted(r.job_id for r in J.retained(jobs, 3, 100).collect()) == ["a", "c", "e"]
+    assert [r.job_id for r in J.retained(jobs, 1, 10).collect()] == ["a"]
+
+
+def test_xhtml_with_named_entities():
+    assert [K.xhtml_state(x) for x in (b"<a>x</a>", b"<a>x&nbsp;&amp;y</a>", b"<a><b></a>", b"")] == ["xml", "spelled", "rejected", "rejected"]
