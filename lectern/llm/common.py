@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a small input that one task of a Python stage gets.
-TASK_BYTES = 4_000_000
+TASK_BYTES = 1_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
