@@ -114,15 +114,16 @@ def _boundaries(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
         find = _pretokens().finditer
         for batch in batches:
             head, tail = [], []
-            for n, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for n, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 base, whole = n * chunk, len(text) < chunk + overlap
                 starts = [m.start() for m in find(text)]
                 head.append([base + p for p in starts if p < overlap] if n else [])
                 # A pre-token that touches the chunk's end may go on beyond it, and \s+(?!\S) looks one sign ahead.
                 tail.append([base + p for p in starts[:-1] if p >= chunk] if not whole else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=["row", "chunk", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=["row", "chunk", "head", "tail"])
 
-    return df.select("row", "chunk", "text").mapInArrow(run, "row long, chunk int, head array<long>, tail array<long>")
+    # All columns are taken, so that both readers of the chunks share one exchange.
+    return df.select("row", "key", "chunk", "text").mapInArrow(run, "row long, chunk int, head array<long>, tail array<long>")
 
 
 def _pieces(long: DataFrame, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
